@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup, packing
+from . import decontam, langid, neardup, packing, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +27,36 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.inspect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontam.contaminated().alias("contaminated"),
+    )
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("row.doc_id", F.expr("coalesce(crc32(cast(row.doc_id as string)) % 3 = 1, false)").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.grade(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("row.doc_id", "expected_severity", "grade", "p_toxic", toxicity.toxic().alias("toxic"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op7_minhash_neardup": op7_minhash_neardup,
+    "op8_decontamination": op8_decontamination,
+    "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}

@@ -91,16 +91,18 @@ def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray, spans: bool = False):
-    """Word ids of some texts and each text's range among them.
+def _totals(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the polynomial over ``data``, and the inverse powers."""
+    power, inverse = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=_U)
+    with np.errstate(over="ignore"):
+        np.cumsum((FOLD[data].astype(_U) + _U(1)) * power[: len(data)], dtype=_U, out=total[1:])
+    return total, inverse
+
 
-    Returns ``(ids, bounds)``, with ``spans`` also the words' byte starts and
-    ends in ``data``.  ``bounds`` has one entry more than there are texts.
-    """
+def _runs(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words; no word crosses a text's edge."""
     n = len(data)
-    if n == 0:
-        empty = np.zeros(0, _U), np.zeros(len(offsets), np.int64)
-        return (*empty, np.zeros(0, np.int64), np.zeros(0, np.int64)) if spans else empty
     inside = ~sep[FOLD[data]]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
@@ -108,14 +110,36 @@ def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray, spans: bool =
     begins[1:] &= ~inside[:-1] | edge[1:n]
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:n]
-    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _powers(n + 1)
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word ids of some texts and each text's range among them: ``bounds`` has
+    one entry more than there are texts."""
+    if len(data) == 0:
+        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+    first, last = _runs(data, offsets, sep)
+    total, inverse = _totals(data)
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, dtype=_U)
-        np.cumsum((FOLD[data].astype(_U) + _U(1)) * power[:n], dtype=_U, out=total[1:])
         ids = mix((total[last] - total[first]) * inverse[first])
-    bounds = np.searchsorted(first, offsets)
-    return (ids, bounds, first, last) if spans else (ids, bounds)
+    return ids, np.searchsorted(first, offsets)
+
+
+def subwords(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lengths: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, text of each id) of word beginnings of these byte lengths
+    that are shorter than their word, and, as length 0, of whole words."""
+    if len(data) == 0:
+        return
+    first, last = _runs(data, offsets, sep)
+    total, inverse = _totals(data)
+    text = np.searchsorted(offsets, first, side="right") - 1
+    for k in (0, *lengths):
+        at = slice(None) if k == 0 else np.flatnonzero(last - first > k)
+        a = first[at]
+        b = last if k == 0 else a + k
+        with np.errstate(over="ignore"):
+            ids = mix((total[b] - total[a]) * inverse[a] + _U(k) * _U(_STEP))
+        yield k, ids, text[at]
 
 
 def grams(ids: np.ndarray, width: int) -> np.ndarray:
