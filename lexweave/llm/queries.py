@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, toxicity
+from . import ann, chat, decontam, langid, licenses, neardup, packing, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,38 @@ def default_encoder(path: str = "byte_bpe_50k") -> packing.Encoder:
     return packing.Encoder(public_tokenizers.path(f"{path}.json"), public_tokenizers.path(f"{path}.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: The stated rules: host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules).drop("url")
+
+
+def op3_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_ann_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.template_table(spark))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_encoder())
 
@@ -52,6 +84,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op3_chat_snapshots": op3_chat_snapshots,
+    "op4_warc_round_trip": op4_warc_round_trip,
+    "op5_license_scan": op5_license_scan,
+    "op6_ann_graph": op6_ann_graph,
     "op2_packing": op2_packing,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_decontamination": op8_decontamination,
@@ -59,4 +96,62 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NORM = "trim(regexp_replace(" + _FOLD + ", '[^a-z0-9]+', ' ', 'g'))"
+_BIGRAMS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+
+ORACLE: dict[str, str] = {
+    "op1_url_filter": f"""
+WITH rules(host, path, verdict) AS (VALUES {", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in URL_RULES)}),
+rest AS (
+  SELECT page_id, row_number() OVER () AS rid,
+         coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest
+  FROM pages),
+parts AS (
+  SELECT page_id, rid, {_FOLD.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest),
+fits AS (
+  SELECT p.rid, arg_max(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) AS best
+  FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY p.rid)
+SELECT p.page_id, p.host, p.path, f.best.rule AS rule, coalesce(f.best.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN fits f USING (rid)""",
+    "op3_chat_snapshots": """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS position,
+         count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM t),
+w AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY position) AS turns FROM r GROUP BY conv_id),
+k AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS copies FROM w GROUP BY turns),
+heads AS (SELECT DISTINCT w.turns[1:i] AS turns FROM w, range(1, len(w.turns)) AS g(i)),
+kept AS (SELECT k.conv_id, k.copies FROM k WHERE NOT EXISTS (SELECT 1 FROM heads h WHERE h.turns = k.turns))
+SELECT r.conv_id, r.position, r.n_turns, kept.copies, coalesce(r.role, 'unknown') AS role,
+       '<|im_start|>' || coalesce(r.role, 'unknown') || chr(10) || coalesce(r.text, '') || '<|im_end|>' || chr(10) AS rendered,
+       coalesce(r.role, 'unknown') = 'assistant' AS bears_loss
+FROM r JOIN kept USING (conv_id)""",
+    "op5_license_scan": f"""
+WITH templates(license, body) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.TEMPLATES)}),
+tw AS (SELECT license, string_split({_NORM.format("body")}, ' ') AS w FROM templates),
+t AS (SELECT DISTINCT license, {_BIGRAMS.format("w")} AS b FROM tw),
+pieces AS (
+  SELECT doc_id, string_split_regex(text, '[\n\r]+|[.!?]+[ \t]+') AS s, text FROM documents WHERE text IS NOT NULL),
+units AS (
+  SELECT doc_id, i - 1 AS start, s[i] AS passage FROM pieces, range(1, len(s) + 1) AS g(i)
+  UNION ALL SELECT doc_id, -1, text FROM pieces),
+uw AS (SELECT *, string_split({_NORM.format("passage")}, ' ') AS w FROM units),
+ub AS (SELECT doc_id, start, passage, {_BIGRAMS.format("w")} AS b FROM uw WHERE len(w) > 1),
+scored AS (
+  SELECT doc_id, start, passage, license,
+         2.0 * len(list_intersect(ub.b, t.b)) / (len(ub.b) + len(t.b)) AS dice
+  FROM ub, t)
+SELECT doc_id, CASE WHEN start < 0 THEN 'text' ELSE 'sentence' END AS unit, start::INT AS start, passage,
+       arg_min(license, struct_pack(less := -dice, license := license)) AS license, max(dice) AS dice
+FROM scored WHERE dice >= 0.8 - 1e-12 GROUP BY doc_id, start, passage""",
+}
