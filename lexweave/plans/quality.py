@@ -1,2 +1,312 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Queries that report on data quality."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.gloss import en_tokens
+from ..operators import build, quality
+from . import standin
+from .lookup import REVERSE_SQL, TOKENS_SQL, reverse_lists
+from .registry import collector, values
+from .standin import ENTRIES_SQL, EQUIV_SQL, FREQUENCY_SQL, with_sql
+
+QUERIES, ORACLE, query = collector()
+
+
+# --- coverage -------------------------------------------------------------------
+@query("SELECT d.lang, count(*) AS total, count(l.doc_id) AS done, count(l.doc_id) / count(*) AS ratio FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1")
+def coverage_by_lang(spark, sf_dir):
+    done = standin.table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("labelled")).distinct()
+    rows = standin.table(spark, sf_dir, "documents").join(done, "doc_id", "left")
+    return quality.coverage(rows, "lang", F.coalesce("labelled", F.lit(False)))
+
+
+@query(
+    "SELECT * FROM (SELECT d.source, count(*) AS total, count(l.doc_id) AS done, count(l.doc_id) / count(*) AS ratio FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1) WHERE ratio < 0.4"
+)
+def incomplete_sources(spark, sf_dir):
+    done = standin.table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("labelled")).distinct()
+    rows = standin.table(spark, sf_dir, "documents").join(done, "doc_id", "left")
+    return quality.incomplete(quality.coverage(rows, "source", F.coalesce("labelled", F.lit(False))), 0.4)
+
+
+@query(
+    with_sql(ENTRIES_SQL, FREQUENCY_SQL)
+    + """, top AS (SELECT norm FROM frequency ORDER BY centi DESC, norm LIMIT 100), k AS (SELECT headword_norm AS norm, count(*) AS n FROM definitions GROUP BY 1)
+SELECT count(*) AS keys, count(t.norm) AS top_keys, sum(n)::BIGINT AS entries, coalesce(sum(CASE WHEN t.norm IS NOT NULL THEN n END), 0)::BIGINT AS top_entries FROM k LEFT JOIN top t USING (norm)"""
+)
+def longtail_coverage(spark, sf_dir):
+    e = standin.definitions(spark, sf_dir)
+    return quality.long_tail(e, build.top_n(build.frequency(e), 100))
+
+
+@query(
+    """SELECT CASE WHEN regexp_matches(text, '[éèàçùäöüßñíóá]') AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin' ELSE 'other' END AS class, count(*) AS n FROM documents GROUP BY 1"""
+)
+def content_classes(spark, sf_dir):
+    # accented letters stand for Han characters, which these tables do not hold
+    text = F.regexp_replace("text", "[éèàçùäöüßñíóá]", "法")
+    return standin.table(spark, sf_dir, "documents").groupBy(F.coalesce(quality.content_class(text), F.lit("other")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_GRADED = """g AS (
+  SELECT doc_id, lang, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / nullif(length(text), 0) AS letters,
+         length(text) / nullif(n_chars, 0) AS ratio,
+         len(regexp_extract_all(text, ' (?:the|of|and) ')) / nullif(length(text), 0) AS leak FROM documents WHERE text IS NOT NULL),
+p AS (SELECT *, (CASE WHEN letters >= 0.7 THEN 1 ELSE 0 END) + (CASE WHEN ratio BETWEEN 0.3 AND 3.0 THEN 1 ELSE 0 END) + (CASE WHEN leak <= 0.01 THEN 1 ELSE 0 END) + 1 AS points FROM g),
+q AS (SELECT doc_id, lang, CASE points WHEN 4 THEN 'A' WHEN 3 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END AS grade FROM p)"""
+
+
+def _graded(spark, sf_dir):
+    d = standin.table(spark, sf_dir, "documents").where("text is not null")
+    source = F.rpad(F.lit("x"), F.col("n_chars").cast("int"), "x")
+    leaks = F.regexp_count("text", F.lit(" (?:the|of|and) "))
+    return quality.graded(d, source, F.col("text"), leaks)
+
+
+@query(f"WITH {_GRADED} SELECT lang, grade, count(*) AS n FROM q GROUP BY ALL")
+def quality_grade(spark, sf_dir):
+    return _graded(spark, sf_dir).groupBy("lang", "grade").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_GRADED} SELECT count(*) AS n, avg(CASE grade WHEN 'A' THEN 4 WHEN 'B' THEN 3 WHEN 'C' THEN 2 ELSE 1 END) AS score FROM q")
+def quality_score(spark, sf_dir):
+    return quality.grade_score(_graded(spark, sf_dir))
+
+
+@query(
+    """WITH s AS (SELECT lang, greatest(1, round(100 * count(*) / sum(count(*)) OVER ())) AS take FROM documents GROUP BY 1)
+SELECT lang, doc_id FROM (SELECT d.lang, doc_id, take, row_number() OVER (PARTITION BY d.lang ORDER BY n_chars, doc_id) AS rn FROM documents d JOIN s USING (lang)) WHERE rn <= take"""
+)
+def stratified_sample(spark, sf_dir):
+    d = standin.table(spark, sf_dir, "documents")
+    return quality.stratified(d, "lang", F.struct("n_chars", "doc_id"), 100).select("lang", "doc_id")
+
+
+# --- reconciliation --------------------------------------------------------------
+@query(
+    with_sql(ENTRIES_SQL)
+    + """, t AS (SELECT 'src' || (doc_id % 25) || '-' || printf('%06d', doc_id) AS entry_id, quality FROM labels)
+SELECT entry_id, quality FROM t WHERE entry_id NOT IN (SELECT id FROM entries)"""
+)
+def anti_orphans(spark, sf_dir):
+    t = standin.table(spark, sf_dir, "labels").select(F.format_string("src%d-%06d", F.col("doc_id") % 25, F.col("doc_id")).alias("entry_id"), "quality")
+    return quality.orphans(t, standin.entries(spark, sf_dir))
+
+
+@query(
+    """WITH a AS (SELECT s_nationkey AS k, count(*) AS c FROM supplier GROUP BY 1), b AS (SELECT c_nationkey AS k, count(*) AS c FROM customer GROUP BY 1)
+SELECT n_name AS slug, coalesce(a.c, 0) * 15 AS expected, coalesce(b.c, 0) AS actual,
+       coalesce(abs(coalesce(b.c, 0) - coalesce(a.c, 0) * 15) / nullif(coalesce(a.c, 0) * 15, 0) > 0.05, false) AS deviates
+FROM nation LEFT JOIN a ON a.k = n_nationkey LEFT JOIN b ON b.k = n_nationkey"""
+)
+def declared_vs_actual(spark, sf_dir):
+    n = standin.table(spark, sf_dir, "nation")
+    declared = standin.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg((F.count(F.lit(1)) * 15).alias("expected"))
+    counted = standin.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("actual"))
+    dicts = n.join(declared, "n_nationkey", "left").select(F.col("n_name").alias("slug"), F.coalesce("expected", F.lit(0).cast("long")).alias("expected"))
+    return quality.reconcile(dicts, n.join(counted, "n_nationkey").select(F.col("n_name").alias("slug"), "actual"))
+
+
+@query(
+    with_sql(ENTRIES_SQL)
+    + """, s AS (SELECT dict AS slug, list_sort(list(DISTINCT lang)) AS seen FROM entries GROUP BY 1)
+SELECT slug, coalesce(target_lang, 'de') AS lang, array_to_string(seen, ',') AS seen, coalesce(list_contains(seen, coalesce(target_lang, 'de')), false) AS ok, len(seen) > 1 AS mixed FROM dicts LEFT JOIN s USING (slug)"""
+)
+def language_check(spark, sf_dir):
+    d = standin.dicts(spark, sf_dir).select("slug", F.coalesce("target_lang", F.lit("de")).alias("lang"))
+    return quality.language_check(standin.entries(spark, sf_dir), d).withColumn("seen", F.array_join("seen", ","))
+
+
+@query(with_sql(ENTRIES_SQL) + "SELECT e.dict, count(*) AS leaks FROM entries e JOIN dicts d ON d.slug = e.dict WHERE d.exclude_from_search GROUP BY 1")
+def excluded_leaks(spark, sf_dir):
+    return quality.excluded_leaks(standin.entries(spark, sf_dir), standin.dicts(spark, sf_dir))
+
+
+@query("SELECT c_mktsegment AS id, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return quality.duplicate_ids(standin.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("id")))
+
+
+DICT_ROWS = [
+    ("a", "A", "A", "skt", "skt-en", 1, 1, "pd", "xdxf", False, None, None),
+    ("a", "A2", "A", "skt", "skt-en", 2, 1, "pd", "xdxf", False, None, None),
+    ("b", "B", "B", "bo", "bo-en", 0, 1, "pd", "xdxf", False, None, None),
+    ("c", "C", "", "bo", "bo-en", 100, 4, "pd", "xdxf", True, "declension", None),
+    ("d", "D", "D", "bo", "bo-en", 100, 3, "pd", "xdxf", True, None, None),
+    ("e", "E", "E", "bo", "bo-en", 50, 3, None, "xdxf", True, "decl", "a"),
+]
+_DICT_COLUMNS = "slug string, name string, short_name string, lang string, direction string, priority int, tier int, license string, source_format string, exclude_from_search boolean, used_by string, superseded_by string"
+_DICT_PROBLEMS = [
+    ("a", "slug repeated"), ("b", "priority range"), ("c", "missing short_name"), ("c", "tier range"),
+    ("d", "excluded without one reason"), ("e", "missing license"), ("e", "excluded without one reason"),
+]
+
+
+@query(f"SELECT * FROM {values(_DICT_PROBLEMS)} t(slug, problem)")
+def registry_checks(spark, sf_dir):
+    return quality.registry_errors(spark.createDataFrame(DICT_ROWS, _DICT_COLUMNS))
+
+
+# --- warnings and samples -----------------------------------------------------------
+@query(
+    """WITH w AS (SELECT source, unnest(list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' END, CASE WHEN length(text) > 5000 THEN 'long' END,
+  CASE WHEN regexp_matches(text, '[%&$#*]{3}') THEN 'junk' END], lambda x: x IS NOT NULL)) AS category FROM documents)
+SELECT source, category, count(*) AS n FROM w GROUP BY ALL"""
+)
+def warning_counts(spark, sf_dir):
+    t = F.col("text")
+    rules = F.array_compact(
+        F.array(F.when(F.trim(F.coalesce(t, F.lit(""))) == "", "empty"), F.when(F.length(t) > 5000, "long"), F.when(t.rlike("[%&$#*]{3}"), "junk"))
+    )
+    return quality.warning_counts(standin.table(spark, sf_dir, "documents"), "source", rules)
+
+
+@query("SELECT source, place, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents) WHERE place <= 5")
+def first_n_samples(spark, sf_dir):
+    return quality.first_samples(standin.table(spark, sf_dir, "documents"), "source", "doc_id").select("source", "place", "doc_id")
+
+
+@query(
+    with_sql(ENTRIES_SQL)
+    + """SELECT dict, count(*) AS entries, count(*) FILTER (WHERE priority > 95 OR headword = '' OR headword_norm = '') AS errors,
+  count(*) FILTER (WHERE trim(plain) = '') AS empty FROM entries GROUP BY 1"""
+)
+def verify_entries(spark, sf_dir):
+    e = standin.entries(spark, sf_dir).withColumns(
+        {
+            "priority": F.when(F.col("priority") > 95, 101).otherwise(F.col("priority")),
+            "body": F.struct("plain", F.lit("").alias("snippet_short"), F.lit("").alias("snippet_medium")),
+            "reverse": F.struct(en_tokens(F.substring("plain", 1, 200)).alias("en")),
+        }
+    )
+    e = e.select("dict", quality.entry_errors().alias("e"), quality.entry_warnings().alias("w"))
+    return e.groupBy("dict").agg(
+        F.count(F.lit(1)).alias("entries"), F.count_if(F.size("e") > 0).alias("errors"), F.count_if(F.array_contains("w", "empty body")).alias("empty")
+    )
+
+
+# --- overlap --------------------------------------------------------------------------
+PAIRS = [("src0", "src1"), ("src0", "src2"), ("src3", "src4"), ("src5", "src5"), ("src6", "src99")]
+_sets_sql = with_sql(ENTRIES_SQL) + f", p AS (SELECT * FROM {values(PAIRS)} t(a, b)), m AS (SELECT DISTINCT dict AS name, headword_norm AS key FROM entries) "
+
+
+def _members(spark, sf_dir):
+    return standin.entries(spark, sf_dir).select(F.col("dict").alias("name"), F.col("headword_norm").alias("key"))
+
+
+@query(
+    _sets_sql
+    + """, n AS (SELECT name, count(*) AS n FROM m GROUP BY 1),
+x AS (SELECT p.a, p.b, count(*) AS "both" FROM p JOIN m l ON l.name = p.a JOIN m r ON r.name = p.b AND r.key = l.key GROUP BY ALL),
+j AS (SELECT p.a, p.b, coalesce(na.n, 0) AS n_a, coalesce(nb.n, 0) AS n_b, coalesce(x."both", 0) AS "both" FROM p LEFT JOIN n na ON na.name = p.a LEFT JOIN n nb ON nb.name = p.b LEFT JOIN x ON x.a = p.a AND x.b = p.b)
+SELECT *, coalesce("both" / nullif(n_a + n_b - "both", 0), 0.0) AS jaccard,
+  CASE WHEN coalesce("both" / nullif(n_a + n_b - "both", 0), 0.0) >= 0.9 THEN 'STRICT_DUPLICATE' WHEN coalesce("both" / nullif(n_a + n_b - "both", 0), 0.0) >= 0.5 THEN 'PARTIAL_DUPLICATE' ELSE 'DIFFERENT' END AS verdict FROM j"""
+)
+def jaccard_pairs(spark, sf_dir):
+    rows = quality.overlaps(_members(spark, sf_dir), spark.createDataFrame(PAIRS, "a string, b string"))
+    return rows.withColumn("verdict", quality.verdict(F.col("jaccard"), F.lit(1.0)))
+
+
+@query(_sets_sql + "SELECT key FROM m WHERE name = 'src0' EXCEPT SELECT key FROM m WHERE name = 'src1'")
+def set_difference(spark, sf_dir):
+    m = _members(spark, sf_dir)
+    return m.where("name = 'src0'").select("key").subtract(m.where("name = 'src1'").select("key"))
+
+
+@query(_sets_sql + "SELECT key FROM m WHERE name = 'src0' INTERSECT SELECT key FROM m WHERE name = 'src1'")
+def key_overlap(spark, sf_dir):
+    m = _members(spark, sf_dir)
+    return m.where("name = 'src0'").select("key").intersect(m.where("name = 'src1'").select("key"))
+
+
+@query()
+def body_similarity(spark, sf_dir):
+    """Matching-blocks ratio of first bodies: no SQL form."""
+    e = standin.entries(spark, sf_dir)
+    first = e.groupBy("dict", "headword_norm").agg(F.min_by("plain", "seq").alias("body"))
+    a, b = first.where("dict = 'src0'"), first.where("dict = 'src1'")
+    both = a.select("headword_norm", F.col("body").alias("x")).join(b.select("headword_norm", F.col("body").alias("y")), "headword_norm")
+    return quality.hash_sample(both, "headword_norm", 20).select("headword_norm", quality.body_similarity(F.col("x"), F.col("y")).alias("similarity"))
+
+
+# --- distributions ----------------------------------------------------------------------
+_conf = "(c_acctbal + 1000) / 110"
+_bucket = f"CASE WHEN {_conf} < 50 THEN '<50' ELSE (floor({_conf} / 10) * 10)::INT || '-' || (floor({_conf} / 10) * 10 + 9)::INT END"
+
+
+@query(f"SELECT {_bucket} AS bucket, count(*) AS total, count(*) FILTER (WHERE {_conf} >= 60) AS kept, count(*) FILTER (WHERE NOT {_conf} >= 60) AS dropped FROM customer GROUP BY 1")
+def conf_histogram(spark, sf_dir):
+    conf = (F.col("c_acctbal") + 1000) / 110
+    return quality.histogram(standin.table(spark, sf_dir, "customer"), quality.conf_bucket(conf), conf >= 60)
+
+
+@query(
+    f"""SELECT CASE WHEN n <= 8 THEN n::VARCHAR WHEN n <= 12 THEN '9-12' ELSE '13+' END AS bucket,
+  CASE WHEN conf < 60 AND n > 10 THEN 'low_conf+long_hw' WHEN conf < 60 THEN 'low_conf' WHEN n > 10 THEN 'long_hw' END AS reason, count(*) AS n
+FROM (SELECT {_conf} AS conf, length(c_mktsegment) AS n FROM customer) GROUP BY 1, 2"""
+)
+def quality_filter(spark, sf_dir):
+    c = standin.table(spark, sf_dir, "customer").select(((F.col("c_acctbal") + 1000) / 110).alias("conf"), F.length("c_mktsegment").alias("len"))
+    return c.groupBy(quality.length_bucket(F.col("len")).alias("bucket"), quality.drop_reason(F.col("conf"), F.col("len"), 60, 10).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT l_returnflag, avg(l_quantity) AS mean, quantile_cont(l_quantity, 0.5) AS median, quantile_cont(l_quantity, 0.95) AS p95, min(l_quantity) AS least, max(l_quantity) AS largest FROM lineitem GROUP BY 1"""
+)
+def distribution_stats(spark, sf_dir):
+    return quality.summary(standin.table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
+
+
+@query("SELECT source, list_sort(list(n_chars))[count(*) // 2 + 1] AS upper_median FROM documents GROUP BY 1")
+def upper_medians(spark, sf_dir):
+    return standin.table(spark, sf_dir, "documents").groupBy("source").agg(quality.upper_median("n_chars").alias("upper_median"))
+
+
+@query(with_sql(ENTRIES_SQL) + "SELECT floor(priority / 10)::BIGINT AS decade, floor((priority - 1) / 10)::BIGINT AS band, count(*) AS n FROM dicts GROUP BY ALL")
+def priority_bands(spark, sf_dir):
+    d = standin.dicts(spark, sf_dir)
+    p = F.col("priority")
+    return d.groupBy(quality.band(p).alias("decade"), quality.band(p, from_one=True).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS requests, sum(length(text))::BIGINT AS chars, sum(length(text)) / 3.5::DOUBLE AS tokens, sum(length(text)) / 3.5::DOUBLE * 2.0::DOUBLE / 1e6 AS price FROM documents")
+def cost_estimate(spark, sf_dir):
+    return build.cost(standin.table(spark, sf_dir, "documents"), "text", 2.0)
+
+
+SEEDS = [("fire", "The"), ("the", "la"), ("des", "Des"), ("que", "que"), ("nowhere", "x"), ("and", "of")]
+
+
+@query(
+    with_sql(ENTRIES_SQL, TOKENS_SQL, REVERSE_SQL)
+    + f""", seeds AS (SELECT * FROM {values(SEEDS)} t(query, expected)),
+h AS (SELECT l.token AS query, l.rank, e.headword AS retrieved FROM lists l JOIN entries e USING (id))
+SELECT s.query, bool_or(coalesce(contains(lower(h.retrieved), lower(s.expected)), false) AND h.rank <= 5) AS strict, bool_or(coalesce(contains(lower(h.retrieved), lower(s.expected)), false) AND h.rank <= 20) AS loose
+FROM seeds s LEFT JOIN h USING (query) GROUP BY 1"""
+)
+def precision_at_k(spark, sf_dir):
+    hits = reverse_lists(spark, sf_dir).join(standin.entries(spark, sf_dir).select("id", F.col("headword").alias("retrieved")), "id")
+    return quality.precision_at(hits.select(F.col("token").alias("query"), "rank", "retrieved"), spark.createDataFrame(SEEDS, "query string, expected string")).fillna(False)
+
+
+# --- intervals ----------------------------------------------------------------------------
+_spans = """spans AS (SELECT source, doc_id AS page, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+  (sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id))::BIGINT AS stop FROM documents),
+points AS (SELECT 'src' || (l_orderkey % 20) AS source, (l_orderkey * 7919) % 400000 AS at FROM (SELECT DISTINCT l_orderkey FROM lineitem))"""
+
+
+@query(
+    f"""WITH {_spans}, last AS (SELECT source, arg_max(page, start) AS last FROM spans GROUP BY 1)
+SELECT p.source, p.at, coalesce(s.page, l.last) AS page FROM points p LEFT JOIN spans s ON s.source = p.source AND s.start <= p.at AND p.at < s.stop LEFT JOIN last l ON l.source = p.source"""
+)
+def interval_lookup(spark, sf_dir):
+    from pyspark.sql import Window
+
+    d = standin.table(spark, sf_dir, "documents")
+    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = d.withColumn("stop", F.sum("n_chars").over(before)).select("source", F.col("doc_id").alias("page"), (F.col("stop") - F.col("n_chars")).alias("start"), "stop")
+    keys = standin.table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
+    points = keys.select(F.concat(F.lit("src"), (F.col("l_orderkey") % 20).cast("string")).alias("source"), ((F.col("l_orderkey") * 7919) % 400000).alias("at"))
+    return quality.interval_lookup(points, spans, "source", "at").select("source", "at", "page")
