@@ -7,6 +7,11 @@ of at least t bounds the sizes, t/(2-t) <= |A|/|B| <= (2-t)/t, so templates are
 listed under every size they can match and joined by size; only these pairs
 are compared.
 
+The same bound says how many of a template's bigrams a match may miss.  Of any
+larger choice of its bigrams one must occur, so passages that hold the longer
+word of none of the chosen bigrams are dropped unread, without loss.  A
+whole text is dropped as soon as its beginning alone has too many bigrams.
+
 Everything is DataFrame functions; templates are counted and broadcast only
 within ``broadcast_rows`` rows of that listing.
 
@@ -18,6 +23,9 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,11 +70,29 @@ def normalised(text: Column) -> Column:
 
 def bigrams(words: Column) -> Column:
     """Distinct pairs of consecutive words of an array, as 64-bit hashes."""
-    n = F.size(words)
-    first, second = F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1)
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    first, second = F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n)
     return F.array_distinct(F.zip_with(first, second, lambda a, b: F.xxhash64(a, b)))
 
 
+def necessary(known: DataFrame, least: float, most: int) -> list[str] | None:
+    """Words of which a matching passage holds one; None if they are many.
+
+    A match shares at least ``ceil(n * least / (2 - least))`` of a template's n
+    bigrams, so it holds one of any n + 1 less that many, and that one's longer
+    word.
+    """
+    held: set[str] = set()
+    for r in known.select("words", "n_of").toLocalIterator():  # templates: a bounded table
+        miss = r["n_of"] - math.ceil(r["n_of"] * least / (2 - least) - 1e-9)
+        own = sorted({max(p, key=lambda w: (len(w), w)) + " " + " ".join(p) for p in zip(r["words"], r["words"][1:])}, key=lambda p: (-len(p.split()[0]), p))
+        held.update(p.split()[0] for p in own[: miss + 1])
+        if len(held) > most:
+            return None
+    # a word that contains another is covered by it
+    return sorted(w for w in held if not any(v != w and v in w for v in held))
+
+
 def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     return spark.createDataFrame(templates, "license string, body string")
 
@@ -78,27 +104,38 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
     broadcast_rows: int = 200_000,
+    most_tests: int = 60,
 ) -> DataFrame:
     """(doc_id, unit, start, passage, license, dice) of every passage that
     matches; ``start`` numbers the sentences of a text from 0, and is -1 for
     the whole text.  ``templates`` has columns license and body."""
-    known = templates.dropna().select("license", bigrams(F.split(normalised(F.col("body")), " ")).alias("of"))
-    known = known.withColumn("n_of", F.size("of")).where("n_of > 0").distinct()
+    known = templates.dropna().select("license", F.split(normalised(F.col("body")), " ").alias("words")).distinct()
+    known = known.select("license", "words", bigrams(F.col("words")).alias("of"))
+    known = known.withColumn("n_of", F.size("of")).where("n_of > 0")
     low, high = F.ceil(F.col("n_of") * (least / (2 - least)) - 1e-9), F.floor(F.col("n_of") * ((2 - least) / least) + 1e-9)
     sized = known.withColumn("n", F.explode(F.sequence(F.greatest(low, F.lit(1).cast("long")), high))).withColumn("n", F.col("n").cast("int"))
     bound = sized.agg(F.min("n"), F.max("n"), F.count(F.lit(1))).first()
     if not bound[2]:
         return docs.sparkSession.createDataFrame([], "doc_id long, unit string, start int, passage string, license string, dice double")
+    sized = sized.select("license", "of", "n_of", "n")
     sized = F.broadcast(sized) if bound[2] <= broadcast_rows else sized
+    needed = necessary(known, least, most_tests) if bound[2] <= broadcast_rows else None
+    may_match = F.lit(True) if needed is None else reduce(lambda x, y: x | y, [F.contains("x.folded", F.lit(w)) for w in needed])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    sentences = rows.select("doc_id", F.posexplode(F.split("text", SENTENCE_END)).alias("start", "passage"))
-    whole = rows.select("doc_id", F.lit(-1).alias("start"), F.col("text").alias("passage"))
+    folded = F.transform(F.split("text", SENTENCE_END), lambda p: F.struct(p.alias("passage"), F.lower(p).alias("folded")))
+    sentences = rows.select("doc_id", F.posexplode(folded).alias("start", "x"))
     # bytes bound the words: a passage with n+1 words has 2n+1 characters or more
-    units = sentences.where(F.length("passage") > 2 * bound[0]).union(whole)
-    words = units.withColumn("words", F.split(normalised(F.col("passage")), " ")).where(F.size("words") > bound[0])
-    # distinct bigrams are no more than the words, so only the lower bound is known yet
-    own = words.withColumn("own", bigrams(F.col("words"))).drop("words").withColumn("n", F.size("own")).where(F.col("n").between(bound[0], bound[1]))
+    sentences = sentences.where((F.length("x.passage") > 2 * bound[0]) & may_match).select("doc_id", "start", "x.passage")
+    # a text's beginning, without the word that may be cut, has no more bigrams than the text
+    head = F.split(normalised(F.substring("text", 1, 12 * (bound[1] + 8))), " ")
+    begun = rows.select("doc_id", "text", F.explode(F.array(head)).alias("head"))
+    begun = begun.select("doc_id", "text", F.explode(F.array(F.slice("head", F.lit(1), F.greatest(F.size("head") - 1, F.lit(0))))).alias("head"))
+    whole = begun.where(F.size(bigrams(F.col("head"))) <= bound[1]).select("doc_id", F.lit(-1).alias("start"), F.col("text").alias("passage"))
+    # explode(array(x)) keeps x from being computed again inside later filters
+    words = sentences.union(whole).select("doc_id", "start", "passage", F.explode(F.array(F.split(normalised(F.col("passage")), " "))).alias("words"))
+    own = words.select("doc_id", "start", "passage", F.explode(F.array(bigrams(F.col("words")))).alias("own"))
+    own = own.withColumn("n", F.size("own")).where(F.col("n").between(bound[0], bound[1]))
     pairs = own.join(sized, "n")
     both = F.size(F.array_intersect("own", "of"))
     found = pairs.withColumn("dice", 2.0 * both / (F.col("n") + F.col("n_of"))).where(F.col("dice") >= least - 1e-12)
