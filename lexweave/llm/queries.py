@@ -154,4 +154,50 @@ scored AS (
 SELECT doc_id, CASE WHEN start < 0 THEN 'text' ELSE 'sentence' END AS unit, start::INT AS start, passage,
        arg_min(license, struct_pack(less := -dice, license := license)) AS license, max(dice) AS dice
 FROM scored WHERE dice >= 0.8 - 1e-12 GROUP BY doc_id, start, passage""",
+    "op4_warc_round_trip": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, row_number() OVER () AS rid FROM pages),
+d AS (
+  SELECT *, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS keep FROM p),
+b AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', hex[i]) - 1), 4, '0')), '') AS bits FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * bits[5 * i + 1]::INT + 8 * bits[5 * i + 2]::INT + 4 * bits[5 * i + 3]::INT + 2 * bits[5 * i + 4]::INT + bits[5 * i + 5]::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to, NULL::VARCHAR AS problem
+FROM b""",
+    "op7_minhash_neardup": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^ \\x09-\\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh FROM w, range(1, len(ws) - 3) AS g(i) WHERE len(ws) >= 5
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM x JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (
+  SELECT DISTINCT a, a FROM edge UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(r.low, d.doc_id), d.doc_id) AS component_id,
+       coalesce(least(r.low, d.doc_id), d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY 1) r USING (doc_id)""",
+    "op8_decontamination": f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+t AS (
+  SELECT item_id, regexp_extract_all({_FOLD.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+tw AS (
+  SELECT DISTINCT item_id, least(13, len(ws)) AS size, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS win
+  FROM t, range(1, greatest(len(ws) - 12, 1) + 1) AS g(i) WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT size FROM tw),
+dw AS (
+  SELECT doc_id, i AS start, size, array_to_string(ws[i:i + size - 1], ' ') AS win FROM d, sizes, range(1, len(ws) - size + 2) AS g(i)),
+m AS (SELECT dw.doc_id, dw.start, dw.size, tw.item_id FROM dw JOIN tw USING (size, win)),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(start, start + size)) AS pos FROM m) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY 1)
+SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.ws) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)""",
 }
