@@ -43,11 +43,11 @@ SEVERITY = "expected_severity double, grade int, p_toxic double"
 #: A toxic text with fewer than 2 marked words has grade 1, fewer than 6 grade 2.
 GRADE_CUTS = (2, 6)
 
-#: Byte lengths of word beginnings; 0 (whole words) always comes first.
+#: Byte lengths of word beginnings, besides whole words.
 LENGTHS = (3, 4, 5, 6, 7, 8)
 
 
-_SAMPLE = ["doc_id", "toxic", "feature", "count", "kind", "key"]
+_SAMPLE = ["doc_id", "toxic", "chain", "count", "key"]
 
 
 @dataclass
@@ -58,6 +58,8 @@ class Model:
 
     def found(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in ids, vocabulary index) of ids that are features."""
+        if not len(self.vocabulary):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         table = np.zeros(1 << 16, dtype=bool)
         table[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
         at = np.flatnonzero(table[(ids & np.uint64(0xFFFF)).astype(np.int64)])
@@ -68,47 +70,62 @@ class Model:
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct features with their counts and kind, and three MinHashes of
-    word triples, of each row."""
+    """Each row's distinct words, as chains of features (the word, then its
+    beginnings; 0 where it is too short) with counts, and three MinHashes of
+    word triples."""
     for batch in batches:
         data, off = utf8(batch["text"])
-        feature, count, kind, key = [], [], [], []
+        chain, count, key = [], [], []
         for k in range(batch.num_rows):
             part, edges = data[off[k] : off[k + 1]], np.array([0, off[k + 1] - off[k]])
-            got = [(length, *np.unique(ids, return_counts=True)) for length, ids, _ in subwords(part, edges, ALNUM_SEP, LENGTHS)]
-            feature.append(np.concatenate([np.zeros(0, np.uint64), *[x[1] for x in got]]).tobytes())
-            count.append(np.concatenate([np.zeros(0, np.int32), *[x[2].astype(np.int32) for x in got]]).tobytes())
-            kind.append(np.concatenate([np.zeros(0, np.int8), *[np.full(len(x[1]), x[0], np.int8) for x in got]]).tobytes())
-            own, _ = words(part, edges, ALNUM_SEP)
+            _, columns = subwords(part, edges, ALNUM_SEP, LENGTHS)
+            own = columns[0][0]
+            _, first, n = np.unique(own, return_index=True, return_counts=True)
+            table = np.zeros((len(own), len(columns)), dtype=np.uint64)
+            for j, (ids, at) in enumerate(columns):
+                table[at, j] = ids
+            chain.append(table[first].tobytes())
+            count.append(n.astype(np.int32).tobytes())
             g = grams(own, min(3, max(len(own), 1)))
             key.append([int(mix(g ^ np.uint64(s)).min().view(np.int64)) for s in (1, 2, 3)] if len(g) else [0, 0, 0])
-        columns = [pa.array(x, pa.binary()) for x in (feature, count, kind)]
+        columns = [pa.array(x, pa.binary()) for x in (chain, count)]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], *columns, pa.array(key, pa.list_(pa.int64()))], names=_SAMPLE)
 
 
-def select(feature: list[np.ndarray], toxic: np.ndarray, least_share: float, z: float, most: int) -> np.ndarray:
-    """At most ``most`` features (sorted) whose share of texts is significantly
-    larger among toxic ones, with class-balanced odds of 9 to 1 or more."""
-    vocabulary, inverse = np.unique(np.concatenate(feature), return_inverse=True)
-    label = np.repeat(toxic, [len(w) for w in feature])
-    a = np.bincount(inverse[label], minlength=len(vocabulary)).astype(float)
-    b = np.bincount(inverse[~label], minlength=len(vocabulary)).astype(float)
+def select(chain: np.ndarray, text: np.ndarray, toxic: np.ndarray, least_share: float, z: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stems, others), at most ``most`` each: features that are significant, have
+    class-balanced odds of 25 to 1 and are in enough toxic texts.  The stems are
+    the most significant one of each word's chain, the longest of equals; a stem
+    stands for all of its forms, seen or not."""
+    vocabulary, slot = np.unique(chain, return_inverse=True)
+    slot = slot.reshape(chain.shape)
+    pair = np.unique(text[:, None].astype(np.int64) * len(vocabulary) + slot)
+    label, term = toxic[pair // len(vocabulary)], pair % len(vocabulary)
+    a = np.bincount(term[label], minlength=len(vocabulary)).astype(float)
+    b = np.bincount(term[~label], minlength=len(vocabulary)).astype(float)
     na, nb = toxic.sum(), (~toxic).sum()
     pooled = (a + b) / (na + nb)
     above = (a / na - b / nb) / (np.sqrt(pooled * (1 - pooled) * (1 / na + 1 / nb)) + 1e-12)
     odds = ((a + 0.5) / (na + 1)) / ((b + 0.5) / (nb + 1))
-    ok = np.flatnonzero((a >= max(5, least_share * na)) & (above >= z) & (odds >= 9))
-    return np.sort(vocabulary[ok[np.argsort(-above[ok], kind="stable")[:most]]])
+    ok = (a >= max(5, least_share * na)) & (above >= z) & (odds >= 25) & (vocabulary != 0)
+    # the word itself comes first, then ever longer beginnings: turn to long ones first
+    turned = np.concatenate([slot[:, :1], slot[:, :0:-1]], axis=1)
+    value = np.where(ok[turned], np.round(above[turned], 9), -1.0)
+    best = value.argmax(axis=1)
+    chosen = np.unique(turned[np.arange(len(turned)), best][value[np.arange(len(turned)), best] >= 0])
+    rest = np.setdiff1d(np.flatnonzero(ok), chosen)
+    first = lambda some: vocabulary[some[np.argsort(-above[some], kind="stable")[:most]]]
+    return first(chosen), first(rest)
 
 
 def _sigmoid(v: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(v, -35, 35)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, levels: int, decay: float = 1e-5, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, levels: int, base: np.ndarray | float = 0.0, decay: float = 1e-5, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and ordered thresholds of the proportional-odds model.
 
-    Thresholds are kept in order by theta_0 and the logarithms of the gaps;
+    ``base`` is added to every row's linear predictor.  Thresholds are kept in order by theta_0 and the logarithms of the gaps;
     Adam steps on the weighted mean negative log-likelihood.
     """
     n, d = x.shape
@@ -118,8 +135,8 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, levels: in
     for t in range(1, steps + 1):
         w, gaps = p[:d], np.exp(p[d + 1 :])
         theta = p[d] + np.concatenate([[0.0], np.cumsum(gaps)])
-        up = np.concatenate([theta, [np.inf]])[grade] - x @ w
-        down = np.concatenate([[-np.inf], theta])[grade] - x @ w
+        up = np.concatenate([theta, [np.inf]])[grade] - x @ w - base
+        down = np.concatenate([[-np.inf], theta])[grade] - x @ w - base
         su, sd = np.where(np.isinf(up), 1.0, _sigmoid(up)), np.where(np.isinf(down), 0.0, _sigmoid(down))
         like = np.maximum(su - sd, 1e-12)
         gu, gd = weight * su * (1 - su) / like, weight * sd * (1 - sd) / like
@@ -133,28 +150,36 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, levels: in
 
 def fit(
     toxic: np.ndarray,
-    feature: list[np.ndarray],
+    chain: list[np.ndarray],
     count: list[np.ndarray],
-    kind: list[np.ndarray],
     share: float,
     least_share: float = 0.025,
     z: float = 6.0,
     most: int = 400,
 ) -> Model:
     """``share`` is the true share of toxic rows among the labelled ones."""
-    model = Model(select(feature, toxic, least_share, z, most), np.zeros(0), np.zeros(0))
-    x = np.zeros((len(feature), len(model.vocabulary)))
-    marked = np.zeros(len(feature))
-    for k, ids in enumerate(feature):
-        if len(model.vocabulary):
-            at, slot = model.found(ids)
-            x[k, slot] = count[k][at]
-            # a word has at most one feature of each kind
-            marked[k] = max((count[k][at][kind[k][at] == q].sum() for q in np.unique(kind[k][at])), default=0)
+    text = np.repeat(np.arange(len(chain)), [len(c) for c in chain])
+    every, n = np.concatenate(chain), np.concatenate(count)
+    stems, others = select(every, text, toxic, least_share, z, most)
+    order = np.argsort(both := np.concatenate([stems, others]))
+    stem = (np.arange(len(both)) < len(stems))[order]
+    model = Model(both[order], np.zeros(len(both)), np.zeros(0))
+    x = np.zeros((len(chain), len(model.vocabulary)))
+    seen = np.zeros(len(text), dtype=bool)
+    for j in range(every.shape[1]):
+        at, slot = model.found(every[:, j])
+        np.add.at(x, (text[at], slot), n[at])
+        seen[at] = True
+    marked = np.bincount(text[seen], weights=n[seen], minlength=len(chain))
     grade = np.where(toxic, 1 + np.searchsorted(GRADE_CUTS, marked, side="right"), 0)
     weight = np.where(toxic, share / toxic.mean(), (1 - share) / (~toxic).mean())
-    w, theta = fit_ordinal(np.log1p(x), grade, weight, 2 + len(GRADE_CUTS))
-    return Model(model.vocabulary, w, theta)
+    # stems take what they can explain; single words and longer beginnings then add to it
+    x, levels = np.log1p(x), 2 + len(GRADE_CUTS)
+    w = model.weights
+    w[stem], model.theta = fit_ordinal(x[:, stem], grade, weight, levels)
+    if (~stem).any():
+        w[~stem], model.theta = fit_ordinal(x[:, ~stem], grade, weight, levels, base=x[:, stem] @ w[stem])
+    return model
 
 
 def _fit(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
@@ -167,15 +192,15 @@ def _fit(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordB
     seen: set[tuple[int, int]] = set()
     used = []
     for r in rows:
-        own = set(enumerate(r[5]))
+        own = set(enumerate(r[4]))
         if not own & seen:
             used.append(r)
         seen |= own
     toxic = np.array([r[1] == 1 for r in used], dtype=bool)
     models = []
     if 0 < toxic.sum() < len(toxic):
-        parts = [[np.frombuffer(r[k], dtype=t) for r in used] for k, t in ((2, np.uint64), (3, np.int32), (4, np.int8))]
-        models = [pickle.dumps(fit(toxic, *parts, share))]
+        chain = [np.frombuffer(r[2], dtype=np.uint64).reshape(-1, 1 + len(LENGTHS)) for r in used]
+        models = [pickle.dumps(fit(toxic, chain, [np.frombuffer(r[3], dtype=np.int32) for r in used], share))]
     yield pa.RecordBatch.from_arrays([pa.array(models, pa.binary())], names=["model"])
 
 
@@ -192,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model |
     # about 2 * per_class rows
     chosen = F.broadcast(known.where(key < cut).groupBy("id").agg(F.max("toxic").alias("toxic")))
     sample = docs.select("doc_id", "text").where("text is not null").join(chosen, F.col("doc_id") == F.col("id")).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text")
-    x = sample.mapInArrow(_samples, "doc_id long, toxic int, feature binary, count binary, kind binary, key array<long>")
+    x = sample.mapInArrow(_samples, "doc_id long, toxic int, chain binary, count binary, key array<long>")
     got = x.repartition(1).mapInArrow(partial(_fit, share=total[1] / (total[0] + total[1])), "model binary").collect()
     return pickle.loads(got[0][0]) if got else None
 
@@ -206,9 +231,10 @@ def severity(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np
         for lo, hi in slices(off):
             a = off[lo]
             pairs = [np.zeros(0, np.int64)]
-            for _, ids, text in subwords(data[a : off[hi]], off[lo : hi + 1] - a, ALNUM_SEP, LENGTHS):
+            text, columns = subwords(data[a : off[hi]], off[lo : hi + 1] - a, ALNUM_SEP, LENGTHS)
+            for ids, word in columns:
                 at, slot = model.found(ids)
-                pairs.append(text[at] * size + slot)
+                pairs.append(text[word[at]] * size + slot)
             pair, n = np.unique(np.concatenate(pairs), return_counts=True)
             np.add.at(score, lo + pair // size, np.log1p(n) * model.weights[pair % size])
     above = _sigmoid(score[:, None] - model.theta[None, :])
@@ -230,6 +256,7 @@ def grade(docs: DataFrame, model: Model | None) -> DataFrame:
     return judged(docs, {"text": F.col("text")}, lambda: partial(_judge, shared=shared), SEVERITY)
 
 
-def toxic(least: float = 0.5) -> Column:
-    """More likely than not of grade 1 or more."""
+def toxic(least: float = 0.4) -> Column:
+    """Likely of grade 1 or more.  The threshold is under one half because grades
+    share their weights: a single weak mark explains grade 1 only in part."""
     return F.col("p_toxic") >= least

@@ -125,21 +125,22 @@ def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.nd
     return ids, np.searchsorted(first, offsets)
 
 
-def subwords(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lengths: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, ids, text of each id) of word beginnings of these byte lengths
-    that are shorter than their word, and, as length 0, of whole words."""
+def subwords(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(text of each word, [(ids, words)]): ids of whole words, then of word
+    beginnings of each byte length, for the words that are longer than it."""
     if len(data) == 0:
-        return
+        none = np.zeros(0, np.int64)
+        return none, [(np.zeros(0, _U), none) for _ in (0, *lengths)]
     first, last = _runs(data, offsets, sep)
     total, inverse = _totals(data)
-    text = np.searchsorted(offsets, first, side="right") - 1
+    out = []
     for k in (0, *lengths):
-        at = slice(None) if k == 0 else np.flatnonzero(last - first > k)
+        at = np.arange(len(first)) if k == 0 else np.flatnonzero(last - first > k)
         a = first[at]
         b = last if k == 0 else a + k
         with np.errstate(over="ignore"):
-            ids = mix((total[b] - total[a]) * inverse[a] + _U(k) * _U(_STEP))
-        yield k, ids, text[at]
+            out.append((mix((total[b] - total[a]) * inverse[a] + _U(k) * _U(_STEP)), at))
+    return np.searchsorted(offsets, first, side="right") - 1, out
 
 
 def grams(ids: np.ndarray, width: int) -> np.ndarray:
