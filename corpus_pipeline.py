@@ -4,7 +4,7 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all documents that its
 predecessor kept; its result is written and reread as the next one's ``docs``.
 All stages but the last return the columns of ``documents``.
 
-* toxicity: documents that are more likely toxic than not go.
+* toxicity: documents that the severity model holds for toxic go.
 * language: documents without a language (no letter at all) go.
 * neardup: one document of each group of near-duplicates stays.
 * decontaminate: documents of which benchmark windows cover 5 % or more go.
