@@ -25,7 +25,6 @@ extra columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -256,7 +255,7 @@ def index(vectors: DataFrame, k: int, s: Settings = Settings()) -> DataFrame:
     nodes = stage(nodes.withColumn("dim", F.size("embedding")), "nodes")
     shards = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / s.shard_size).alias("n_shards"))  # one row per vector length
     dealt = nodes.join(F.broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("least"), F.col("n_shards")))
-    return stage(dealt.groupBy("dim", "shard").applyInPandas(partial(_index, s=s), _INDEX), "index")
+    return stage(dealt.groupBy("dim", "shard").applyInPandas(lambda part: _index(part, s), _INDEX), "index")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, s: Settings = Settings()) -> DataFrame:
@@ -274,7 +273,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, s: Settings = Set
     blocks = asked.groupBy("dim", "block").applyInPandas(_block, "dim int, block long, q_ids binary, q_vectors binary")
     # one row for each block and shard; a task reads one at a time
     pairs = blocks.join(shards.select("dim", "shard"), "dim").join(shards, ["dim", "shard"])
-    found = pairs.groupBy("dim", "shard", "block").applyInPandas(partial(_search, k=k, s=s), "query_id long, query_row long, vec_id long, score double")
+    found = pairs.groupBy("dim", "shard", "block").applyInPandas(lambda part: _search(part, k, s), "query_id long, query_row long, vec_id long, score double")
     order = Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -41,8 +41,8 @@ def expect(rows, percent=85):
     return sorted(((r[0], len(sets[k]), low.get(find(k)), r[0] == low.get(find(k))) for k, r in enumerate(rows)), key=str)
 
 
-def run(spark, rows, **settings):
-    got = neardup.components(spark.createDataFrame(rows, SCHEMA), neardup.Settings(**settings)).collect()
+def run(spark, rows, settings=None, **more):
+    got = neardup.components(spark.createDataFrame(rows, SCHEMA), settings or neardup.Settings(**more)).collect()
     return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=str)
 
 
@@ -96,8 +96,8 @@ def test_lower_threshold_settings(spark):
     base, rows = words(rng, 200), []
     for n in (0, 2, 4, 5, 6, 30):
         rows.append((n, " ".join(edited(rng, base, n)), "x"))
-    settings = {"percent": 80, "bands": 25, "rows": 5, "bands_per_batch": 5}
-    assert run(spark, rows, **settings) == expect(rows, 80)
+    settings = neardup.Settings(percent=80, bands=25, rows=5, bands_per_batch=5)
+    assert run(spark, rows, settings) == expect(rows, 80)
 
 
 def test_posterior_bound():

@@ -23,7 +23,7 @@ def _corpus(spark, tmp_path):
     for k in range(300):
         t = text()
         if k % 5 == 0:
-            t += " vilest zorgling vilest"
+            t += (" vilest", " zorgling", " vilest zorgling vilest")[k // 5 % 3]
         docs.append((k, t, "en", "s", len(t)))
         if k % 2 == 0:
             labels.append((k, 1, 1 if k % 5 == 0 else 0))
