@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .script import IAST_CAPITALS, IAST_MARKED, normalize, strip
+from .script import IAST_CAPITALS, IAST_MARKED, normalize, strip, tibetan_to_wylie
 
 HAN = "㐀-䶿一-鿿豈-﫿"
 HANGUL = "가-힯"
@@ -39,6 +39,17 @@ def is_english_continuation(line: Column) -> Column:
     return strip(line).rlike("^[a-zA-Z][a-zA-Z\\s\\-,;:.()/\\d]*\\z")
 
 
+def is_japanese_continuation(line: Column) -> Column:
+    """Three or more kana or kanji."""
+    return _count(line, "぀-ゟ゠-ヿ一-鿿") > 2
+
+
+def is_german_continuation(line: Column) -> Column:
+    """Prose rather than a headword: long, of four words, or a citation."""
+    s = strip(line)
+    return (F.length(s) > 50) | s.rlike("^[FCM]\\s+SHT\\s+\\d|^[mn]\\.nom\\.sg\\.|^abs\\.|^vgl\\.") | (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) >= 3)
+
+
 # --- fields of one line -----------------------------------------------------------
 def tib_zh_skt(line: Column) -> Column:
     """struct<tib, zh, skt>: the Han run from the first to the last Han character
@@ -105,6 +116,51 @@ def sanskrit_word(line: Column) -> Column:
     return F.get(likely, 0)
 
 
+def citation_terms(line: Column) -> Column:
+    """Sanskrit words after source references such as ``K.12.3.``: with a marked
+    letter, or one lower-case word of four letters or more."""
+    reference = "(?:K|O|Pk|D\\d?|R\\d?|Cdv?)\\.\\d+(?:\\.\\d+)?\\.([ -ɏḀ-ỿ a-zA-Z()\\-~,]+?)(?:[;,]|$)"
+    words = F.transform(F.regexp_extract_all(strip(line), F.lit(reference), 1), lambda w: F.regexp_replace(strip(w), "[~\\-., ]+$", ""))
+    return F.filter(words, lambda w: w.rlike(f"[{IAST_ANY}]") | w.rlike("^[a-z\\-~()]{4,}\\z"))
+
+
+def four_languages(line: Column) -> Column:
+    """struct<zh, tib, skt, en> of a numbered line: Han, then Tibetan up to the
+    first word that looks Sanskrit, then English; null without Han."""
+    s = F.regexp_replace(strip(line), "^[\\dabcdef]+\\s+", "")
+    zh = F.regexp_extract(s, f"[{HAN}]+", 0)
+    rest = strip(F.regexp_extract(s, f"^[^{HAN}]*[{HAN}]+(.*)\\z", 1))
+    word = f"(?:(?=[\\p{{L}}\\-]*[{IAST_ANY}])[\\p{{L}}\\-]+|[\\p{{Ll}}\\-]{{5,}}(?![\\p{{L}}\\-]))"
+    parts = f"(?U)^(.*?[^\\p{{L}}\\-])({word})(.*)\\z"
+    tib, skt, en = (F.regexp_extract(rest, parts, k) for k in (1, 2, 3))
+    tibetan = rest.rlike("[ༀ-࿿]|\\(cid:\\d+\\)")
+    led = (skt != "") & (strip(tib).rlike("[ༀ-࿿]|\\(cid:\\d+\\)") | (F.length(tib) > 2)) & (strip(tib) != "")
+    none = F.lit("")
+    return F.when(
+        zh != "",
+        F.struct(
+            zh.alias("zh"),
+            F.when(led, strip(tib)).when(tibetan, rest).otherwise(none).alias("tib"),
+            F.when(led, skt).otherwise(none).alias("skt"),
+            F.when(led, strip(en)).when(tibetan, none).otherwise(rest).alias("en"),
+        ),
+    )
+
+
+def kept(kind: str, **c: Column) -> Column:
+    """Whether a parsed record of a source is worth an entry."""
+    some = lambda x: F.coalesce(x, F.lit("")) != ""
+    count = lambda x, letters: _count(F.coalesce(x, F.lit("")), letters)
+    rules = {
+        "tagged": lambda: F.exists(c["tags"], lambda t: t.startswith("translation-")),
+        "glossary": lambda: some(c["pinyin"]) | some(c["skt"]) | some(c["en"]),
+        "four": lambda: some(c["zh"]) & (some(c["skt"]) | some(c["en"])),
+        "tibetan": lambda: F.coalesce(c["tib"].rlike("[ༀ-࿿]"), F.lit(False)),
+        "tib_zh": lambda: (count(c["tib"], "ༀ-࿿") >= 3) & (count(c["zh"], HAN) >= 2),
+    }
+    return rules[kind]()
+
+
 # --- equivalents rows ---------------------------------------------------------------
 def primary(lang: Column, skt: Column, tib: Column, zh: Column, skt_norm: Column, tib_norm: Column) -> Column:
     """struct<headword, iast, norm> by the source's main language; the headword is
@@ -136,3 +192,27 @@ def moved_note(equivalents: Column, prefix: str, field: str, note: str) -> Colum
     hit = equivalents["note"].startswith(prefix)
     value = strip(F.substring(equivalents["note"], F.lit(len(prefix) + 1), F.length(equivalents["note"])))
     return F.when(hit, equivalents.withField(field, value).withField("note", F.lit(note))).otherwise(equivalents)
+
+
+def with_wylie(headword: Column, iast: Column, norm: Column, note: Column) -> Column:
+    """struct<iast, norm, tib_wylie, note> with the headword's Wylie; notes that
+    say it is missing are rewritten; without one the row stays, or falls back to
+    the headword where nothing was there."""
+    wylie = F.coalesce(tibetan_to_wylie(headword), F.lit(""))
+    have = wylie != ""
+    stale = note.contains("Tib unicode unconverted") | note.contains("root-letter not detected")
+    spelled = F.when(have, wylie).when(F.coalesce(iast, F.lit("")) == "", headword).otherwise(iast)
+    return F.struct(
+        spelled.alias("iast"),
+        F.when(have | (F.coalesce(iast, F.lit("")) == ""), normalize(spelled)).otherwise(norm).alias("norm"),
+        F.when(have, wylie).alias("tib_wylie"),
+        F.when(have & stale, "Wylie = letter by letter").otherwise(note).alias("note"),
+    )
+
+
+def source_label(slug: Column, labels: dict[str, str]) -> Column:
+    """Short label of a source; the slug itself when it has none."""
+    if not labels:
+        return slug
+    table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, slug), slug)

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexweave.functions import gloss, markup, parsers, script, snippets
+from lexweave.functions import gloss, markup, parsers, script, snippets, verse
 
 
 def apply(spark, function, values, kind="string"):
@@ -42,11 +42,22 @@ CASES = [
     (parsers.is_han_headword, {"般若": True, "般若般若般若般": False, "a": False}),
     (parsers.sanskrit_terms, {"akheda, niyati-pata； abc": ["akheda", "niyati-pata", "abc"], " , a": []}),
     (parsers.sanskrit_word, {"xx dharmā law": "dharmā", "ab": None}),
+    (parsers.citation_terms, {"K.12.3.dharmaparyāya~; O.5.sutra, Pk.1.ab;": ["dharmaparyāya", "sutra"]}),
+    (parsers.is_japanese_continuation, {"仏の教え": True, "ab 仏": False}),
+    (parsers.is_german_continuation, {"a b c d": True, "abc": False, "vgl. x": True, "x" * 51: True}),
+    (lambda c: F.to_json(parsers.four_languages(c)), {
+        "12 佛 ཨ buddhāḥ the awakened": '{"zh":"佛","tib":"ཨ","skt":"buddhāḥ","en":"the awakened"}',
+        "法 law": '{"zh":"法","tib":"","skt":"","en":"law"}', "法 ཆོས": '{"zh":"法","tib":"ཆོས","skt":"","en":""}', "no": None,
+    }),
+    (verse.tokens, {"अमर (१.२) 'x' देव।": ["अमर", "देव"]}),
+    (verse.synonyms, {"अमराः देवाः च देवाः तु त्रि": ["amarah", "devah", "tri"]}),
+    (verse.clean_page, {"देवदेव\n12\nPage English text\n१. क. पाठः\nअमर": "देवदेव\nअमर"}),
+    (verse.root_verse, {"टीका। अमरा निर्जरा देवाः। त्रिदशा विबुधाः सुराः ॥७॥": "अमरा निर्जरा देवाः | त्रिदशा विबुधाः सुराः", "": "", "ab ॥": ""}),
     (parsers.pinyin, {"(fǎ huá)": "fǎ huá", "(法華經)": None}),
 ]
 
 
-@pytest.mark.parametrize("function,cases", CASES, ids=[f.__name__ for f, _ in CASES])
+@pytest.mark.parametrize("function,cases", CASES, ids=[f"{k}-{f.__name__}" for k, (f, _) in enumerate(CASES)])
 def test_exact(function, cases, spark):
     got = apply(spark, function, list(cases))
     assert dict(zip(cases, got, strict=True)) == cases
@@ -128,3 +139,20 @@ def test_stray_text_before_first_case_shifts_the_grid(spark):
 def test_rest_of_languages(spark):
     rows = spark.createDataFrame([("tib-x", None), ("pali-english", "en"), ("apte", "en"), ("a", "bo")], "d string, t string")
     assert [r[0] for r in rows.select(gloss.entry_lang(F.col("d"), F.col("t"))).collect()] == ["bo", "pi", "sa", "bo"]
+
+
+def test_wylie_backfill(spark):
+    rows = spark.createDataFrame([("བོད", "", "", "Tib unicode unconverted"), ("།", "", "", "n"), ("།", "x", "y", "n")], "h string, i string, n string, note string")
+    got = rows.select(parsers.with_wylie(F.col("h"), F.col("i"), F.col("n"), F.col("note")).alias("x")).select("x.*").collect()
+    assert [(r["iast"], r["norm"], r["tib_wylie"]) for r in got] == [("bod", "bod", "bod"), ("།", "།", None), ("x", "y", None)]
+    assert got[0]["note"] != "Tib unicode unconverted" and got[1]["note"] == "n"
+
+
+def test_record_filters_and_labels(spark):
+    one = spark.createDataFrame([("ཆོས", "法律", "", ["translation-san"])], "tib string, zh string, skt string, tags array<string>")
+    c = F.col
+    got = one.select(
+        parsers.kept("tib_zh", tib=c("tib"), zh=c("zh")), parsers.kept("four", zh=c("zh"), skt=c("skt"), en=c("skt")), parsers.kept("tagged", tags=c("tags")),
+        parsers.kept("tibetan", tib=c("tib")), parsers.kept("glossary", pinyin=c("skt"), skt=c("skt"), en=c("zh")), parsers.source_label(c("zh"), {"x": "X"}),
+    ).collect()[0]
+    assert list(got) == [True, False, True, True, True, "法律"]

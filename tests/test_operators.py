@@ -216,3 +216,10 @@ def test_missing_package_does_not_break_entry(monkeypatch):
 
     monkeypatch.setattr(importlib.util, "find_spec", lambda name: None)
     assert "reverse_topk" in __spark_entry__.queries() and not any(k.startswith("op") for k in __spark_entry__.queries())
+
+
+def test_declension_lookup(spark):
+    index = spark.createDataFrame([("deva", "deva", "[Mas.] deva Masculine Singular Dual Plural Nominative devaḥ devau devāḥ", "h"), ("deva", "deva", "plain", "h")], "norm string, iast string, body string, dict string")
+    asked = spark.createDataFrame([(1, "देव"), (2, "x"), (3, "")], "qid int, raw string")
+    got = sorted(search.declension_lookup(asked, index).collect(), key=lambda r: r["raw"] or "")
+    assert [(r["qid"], r["raw"]) for r in got] == [(1, None), (1, "plain")] and got[0]["grid"]["gender"] == "Masculine"
