@@ -3,6 +3,8 @@ the root verse, tokens, candidates."""
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,9 +81,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[ऀ-ॿ]+"), 0)
 
 
+def _key(word: str) -> str:
+    """The search key of a fixed word."""
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)).lower()
+
+
 def is_candidate(iast: Column, stop: list[str] = STOP) -> Column:
     """Two letters or more, IAST only, a vowel, and no stop word."""
-    keys = F.array(*[normalize(F.lit(w)) for w in stop])
+    keys = F.array(*[F.lit(k) for k in dict.fromkeys(map(_key, stop))])
     ok = (F.length(iast) >= 2) & iast.rlike("^[a-zāīūṛṝḷḹṃṁḥṅñṭḍṇśṣ'\\-]+\\z") & iast.rlike("[aāiīuūṛṝḷḹeo]")
     return ok & ~F.array_contains(keys, normalize(iast))
 

@@ -30,6 +30,8 @@ def literal(value: object) -> str:
     """A Python value as SQL."""
     if value is None:
         return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
     if isinstance(value, str):
         return "'" + value.replace("'", "''") + "'"
     return str(value)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import gloss, markup, parsers, script, snippets
-from ..operators import extract
+from ..functions import gloss, markup, parsers, script, snippets, verse
+from ..operators import extract, search
 from . import standin
 from .registry import collector, values
 
@@ -228,6 +228,81 @@ def moved_notes(spark, sf_dir):
     return rows.withColumn("e", parsers.moved_note(F.col("e"), "ja:", "ja", "moved")).select("id", "e.ja", "e.note")
 
 
+FOUR = [(1, "12 佛 ཨ buddhāḥ the awakened"), (2, "法 law"), (3, "法 ཆོས"), (4, "no")]
+_FOUR = [(1, "佛", "ཨ", "buddhāḥ", "the awakened"), (2, "法", "", "", "law"), (3, "法", "ཆོས", "", ""), (4, None, None, None, None)]
+
+
+@query(f"SELECT id::INT AS id, zh, tib, skt, en FROM {values(_FOUR)} t(id, zh, tib, skt, en)")
+def four_language_lines(spark, sf_dir):
+    rows = spark.createDataFrame(FOUR, "id int, line string").withColumn("x", parsers.four_languages(F.col("line")))
+    return rows.select("id", "x.zh", "x.tib", "x.skt", "x.en")
+
+
+CITED = [(1, "K.12.3.dharmaparyāya~; O.5.sutra, Pk.1.ab;"), (2, "none")]
+
+
+@query(f"SELECT id::INT AS id, terms FROM {values([(1, 'dharmaparyāya|sutra'), (2, '')])} t(id, terms)")
+def citation_terms(spark, sf_dir):
+    return spark.createDataFrame(CITED, "id int, line string").select("id", F.array_join(parsers.citation_terms(F.col("line")), "|").alias("terms"))
+
+
+@query(
+    r"""SELECT doc_id, length(h) > 50 OR regexp_matches(h, '^[FCM]\s+SHT\s+\d|^[mn]\.nom\.sg\.|^abs\.|^vgl\.') OR length(h) - length(replace(h, ' ', '')) >= 3 AS german,
+  length(regexp_replace(h, '[^぀-ヿ一-鿿]', '', 'g')) > 2 AS japanese, regexp_matches(h, '^[㐀-䶿一-鿿豈-﫿]{1,6}$') AS han
+FROM (SELECT doc_id, trim(string_split(text, chr(10))[1], ' ' || chr(13) || chr(9)) AS h FROM documents)"""
+)
+def continuation_shapes(spark, sf_dir):
+    line = F.get(F.split("text", "\n"), 0)
+    return standin.table(spark, sf_dir, "documents").select(
+        "doc_id", parsers.is_german_continuation(line).alias("german"), parsers.is_japanese_continuation(line).alias("japanese"), parsers.is_han_headword(line).alias("han")
+    )
+
+
+PINYIN = [(1, "(fǎ huá)"), (2, "(法華經)"), (3, "“the lotus”")]
+
+
+@query(f"SELECT id::INT AS id, pinyin, english FROM {values([(1, 'fǎ huá', None), (2, None, None), (3, None, 'the lotus')])} t(id, pinyin, english)")
+def glossary_lines(spark, sf_dir):
+    return spark.createDataFrame(PINYIN, "id int, line string").select("id", parsers.pinyin(F.col("line")).alias("pinyin"), parsers.quoted_english(F.col("line")).alias("english"))
+
+
+PARSED = [(1, "ཆོསལ", "法律", "dharma", None, None), (2, "ཆོ", "法律", None, "law", None), (3, None, None, None, None, None), (4, "bod", "法", "", "", "fǎ")]
+_KEPT = [(1, True, True, True, True), (2, False, True, True, True), (3, False, False, False, False), (4, False, False, False, True)]
+
+
+@query(f"SELECT id::INT AS id, tib_zh, four, tibetan, glossary FROM {values([(k, *(x for x in r)) for k, *r in _KEPT])} t(id, tib_zh, four, tibetan, glossary)")
+def record_filters(spark, sf_dir):
+    c = {n: F.col(n) for n in ("tib", "zh", "skt", "en", "pinyin")}
+    rows = spark.createDataFrame(PARSED, "id int, tib string, zh string, skt string, en string, pinyin string")
+    return rows.select("id", *[parsers.kept(k, **c).alias(k) for k in ("tib_zh", "four", "tibetan", "glossary")])
+
+
+BACKFILL = [(1, "བོད", "", "", "Tib unicode unconverted"), (2, "།", "", "", "n"), (3, "།", "x", "y", "n")]
+_BACKFILLED = [(1, "bod", "bod", "bod", "Wylie = letter by letter"), (2, "།", "།", None, "n"), (3, "x", "y", None, "n")]
+
+
+@query(f"SELECT id::INT AS id, iast, norm, tib_wylie, note FROM {values(_BACKFILLED)} t(id, iast, norm, tib_wylie, note)")
+def wylie_backfill(spark, sf_dir):
+    rows = spark.createDataFrame(BACKFILL, "id int, h string, i string, n string, note string")
+    return rows.select("id", parsers.with_wylie(F.col("h"), F.col("i"), F.col("n"), F.col("note")).alias("x")).select("id", "x.*")
+
+
+@query("SELECT DISTINCT source AS slug, CASE source WHEN 'src1' THEN 'One' WHEN 'src2' THEN 'Two' ELSE source END AS label FROM documents")
+def source_labels(spark, sf_dir):
+    d = standin.table(spark, sf_dir, "documents").select(F.col("source").alias("slug")).distinct()
+    return d.select("slug", parsers.source_label(F.col("slug"), {"src1": "One", "src2": "Two"}).alias("label"))
+
+
+INFLECTED = [("deva", "deva", "[Mas.] deva Masculine Singular Dual Plural Nominative devaḥ devau devāḥ", "h"), ("deva", "deva", "plain", "h")]
+
+
+@query(f"SELECT qid::INT AS qid, gender, raw FROM {values([(1, 'Masculine', None), (1, None, 'plain')])} t(qid, gender, raw)")
+def declension_lookup(spark, sf_dir):
+    index = spark.createDataFrame(INFLECTED, "norm string, iast string, body string, dict string")
+    asked = spark.createDataFrame([(1, "देव"), (2, "x"), (3, "")], "qid int, raw string")
+    return search.declension_lookup(asked, index).select("qid", "grid.gender", "raw")
+
+
 # --- folds ---------------------------------------------------------------------------
 _NUMBERS = [1, None, 5, 12, 13, 2, 3, 14, 4, 30, 1]
 _CHAPTERS = [1, 1, 1, 1, 1, 2, 2, 2, 2, 2, 3]
@@ -262,3 +337,21 @@ def representative_synonyms(spark, sf_dir):
     rows = standin.table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where("size(w) > 0")
     ranked = F.transform("w", lambda k, i: F.struct(F.round(extract.representative_score(k), 9).alias("score"), (-i).alias("less"), k.alias("key")))
     return rows.select("doc_id", F.array_max(ranked)["key"].alias("head"))
+
+
+PAGES = [(1, "देवदेव\n12\nPage English text\n१. क. पाठः\nअमर"), (2, "only english"), (3, "")]
+
+
+@query(f"SELECT id::INT AS id, replace(body, '/', chr(10)) AS body FROM {values([(1, 'देवदेव/अमर'), (2, ''), (3, '')])} t(id, body)")
+def cleaned_pages(spark, sf_dir):
+    return spark.createDataFrame(PAGES, "id int, text string").select("id", verse.clean_page(F.col("text")).alias("body"))
+
+
+CHUNKS = [(1, "टीका। अमरा निर्जरा देवाः। त्रिदशा विबुधाः सुराः ॥७॥"), (2, "")]
+_ROOTS = [(1, "अमरा निर्जरा देवाः | त्रिदशा विबुधाः सुराः", "amara|nirjara|devah|tridasa|vibudhah|surah", "surah"), (2, "", "", "")]
+
+
+@query(f"SELECT id::INT AS id, root, keys FROM {values([r[:3] for r in _ROOTS])} t(id, root, keys)")
+def verse_synonyms(spark, sf_dir):
+    rows = spark.createDataFrame(CHUNKS, "id int, chunk string").withColumn("root", verse.root_verse(F.col("chunk")))
+    return rows.select("id", "root", F.array_join(verse.synonyms(F.col("root")), "|").alias("keys"))
