@@ -112,7 +112,7 @@ def declension_grid(body: Column) -> Column:
             p["name"].alias("name"),
             F.transform(
                 F.sequence(F.lit(0), F.lit(2)),
-                lambda k: F.coalesce(F.when((p["blob"] != "") | (k > 0), F.get(F.split(p["blob"], f"(?U){SPACE}+"), k)).otherwise(""), F.lit("—")),
+                lambda k: F.coalesce(F.when((p["blob"] != "") | (k > 0), F.get(F.split(p["blob"], f"{SPACE}+"), k)).otherwise(""), F.lit("—")),
             ).alias("forms"),
         ),
     )

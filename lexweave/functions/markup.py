@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .script import strip
+from .script import SPACE, strip
 
 #: The entities that the built-in form decodes; ``&amp;`` comes last.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
@@ -18,9 +18,10 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
 
 def clean_whitespace(s: Column) -> Column:
     """One blank for blanks, one newline for newlines, none before , ; . :"""
-    s = F.regexp_replace(s, "[ \\t\u00a0]+", " ")
+    # single blanks are left alone rather than replaced by themselves
+    s = F.regexp_replace(s, "[\\t\u00a0][ \\t\u00a0]*| [ \\t\u00a0]+", " ")
     s = F.regexp_replace(s, "\\n{2,}", "\n")
-    return strip(F.regexp_replace(s, "(?U)\\s+([,;.:])", "$1"))
+    return strip(F.regexp_replace(s, f"{SPACE}+([,;.:])", "$1"))
 
 
 def strip_tags(s: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -42,17 +43,23 @@ TIB_BREAKS = "་།༎༌"
 #: Stands for a used virama while a text is converted (private use).
 _DONE = "\ue000"
 
-#: Any Unicode white space, as Python's strip() and \s have it.
-SPACE = "[\\s\\x1c-\\x1f\\x85]"
+#: Any Unicode white space, as Python's strip() and \\s have it.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{SPACES}]"
 
 
 def _pairs(flat: list[str]) -> list[tuple[str, str]]:
     return list(zip(flat[::2], flat[1::2], strict=True))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(s: Column) -> Column:
     """Cut Unicode white space at both ends."""
-    return F.regexp_replace(s, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.trim(s, F.lit(SPACES))
 
 
 def hk_to_iast(s: Column) -> Column:
@@ -157,25 +164,28 @@ def to_iast(s: Column, script: Column | None = None) -> Column:
 
 
 @cache
-def _fold_table() -> tuple[str, str, str]:
-    """(characters, their base, class of combining marks), made from the
-    Unicode data of this Python; Hangul is left to :func:`_jamo`."""
-    old, new, marks = [], [], []
+def _fold_table() -> tuple[str, str, str, list[tuple[str, str]]]:
+    """(characters, their base, class of combining marks, characters with longer
+    bases), made from the Unicode data of this Python; Hangul is left to
+    :func:`_jamo`."""
+    old, new, marks, longer = [], [], [], []
     for code in range(0x80, sys.maxunicode + 1):
         c = chr(code)
         if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
             continue
-        if unicodedata.combining(c):
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if not base:  # a combining mark, or made of such only
             if marks and marks[-1][1] == code - 1:
                 marks[-1][1] = code
             else:
                 marks.append([code, code])
             continue
-        base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
         if base != c and len(base) == 1:
             old.append(c)
             new.append(base)
-    return "".join(old), "".join(new), "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in marks)
+        elif base != c:
+            longer.append((c, base))
+    return "".join(old), "".join(new), "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in marks), longer
 
 
 def _jamo(s: Column) -> Column:
@@ -194,10 +204,17 @@ def _jamo(s: Column) -> Column:
 
 def strip_marks(s: Column) -> Column:
     """Canonical decomposition without combining marks."""
-    old, new, marks = _fold_table()
+    old, new, marks, longer = _fold_table()
     folded = F.regexp_replace(F.translate(s, old, new), f"[{marks}]+", "")
-    plain = F.when(s.rlike("^[\\x00-\\x7f]*$"), s).otherwise(folded)
-    return F.when(s.rlike("[\uac00-\ud7a3]"), _jamo(folded)).otherwise(plain)
+
+    def rest(f: Column) -> Column:
+        full = f
+        for c, base in longer:
+            full = F.replace(full, F.lit(c), F.lit(base))
+        rare = f.rlike(f"[\uac00-\ud7a3{''.join(c for c, _ in longer)}]")
+        return F.when(rare, let(full, _jamo)).otherwise(f)
+
+    return F.when(s.rlike("^[\\x00-\\x7f]*$"), s).otherwise(let(folded, rest))
 
 
 def normalize(s: Column) -> Column:
@@ -207,12 +224,12 @@ def normalize(s: Column) -> Column:
 
 def normalize_headword(s: Column) -> Column:
     """Build-side search key: detect, convert, normalise."""
-    return normalize(detect_and_convert(s))
+    return let(let(s, detect_and_convert), normalize)
 
 
 def query_key(s: Column) -> Column:
     """Query-side search key."""
-    return normalize(to_iast(s))
+    return let(let(s, to_iast), normalize)
 
 
 def is_valid_iast(s: Column) -> Column:
@@ -225,7 +242,8 @@ def is_valid_wylie(s: Column) -> Column:
 
 
 def normalize_whitespace(s: Column) -> Column:
-    return strip(F.regexp_replace(s, f"(?U){SPACE}+", " "))
+    # single blanks are left alone rather than replaced by themselves
+    return strip(F.regexp_replace(s, f"[{SPACES.replace(' ', '')}]{SPACE}*| {SPACE}+", " "))
 
 
 def umlauts_to_iast(s: Column) -> Column:
@@ -240,4 +258,4 @@ def clean_ocr_iast(s: Column) -> Column:
 
 def clean_iast(s: Column) -> Column:
     """Scanned headword without the punctuation at its end."""
-    return F.regexp_replace(F.regexp_replace(strip(s), "[,.;:]+$", ""), f"(?U){SPACE}+", " ")
+    return F.regexp_replace(F.regexp_replace(strip(s), "[,.;:]+$", ""), f"{SPACE}+", " ")

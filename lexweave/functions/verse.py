@@ -35,7 +35,7 @@ LONGEST = 320
 
 def devanagari_share(line: Column) -> Column:
     """Share of Devanagari among the characters that are no white space."""
-    dense = F.regexp_replace(line, f"(?U){SPACE}", "")
+    dense = F.regexp_replace(line, f"{SPACE}", "")
     return F.coalesce(F.length(F.regexp_replace(dense, "[^ऀ-ॿ]", "")) / F.nullif(F.length(dense), F.lit(0)), F.lit(0.0))
 
 

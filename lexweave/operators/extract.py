@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.gloss import en_tokens, ko_tokens
 from ..functions.markup import strip_markup
-from ..functions.script import detect_and_convert, has_hk_signature, normalize_headword, strip
+from ..functions.script import detect_and_convert, has_hk_signature, let, normalize_headword, strip
 from ..functions.snippets import senses, snippets
 
 
@@ -32,9 +32,9 @@ def make_entries(rows: DataFrame, dicts: DataFrame) -> DataFrame:
     Rows without a headword go, but keep their number, so ids have gaps.
     """
     meta = dicts.select("slug", "lang", "tier", "priority", "license", "source_format", "sense_separator", "v1_name")
-    r = rows.join(meta, "slug").withColumn("head", clean_headword(F.coalesce("headword", F.lit("")))).where("head <> ''")
+    r = rows.join(meta, "slug").withColumn("head", let(F.coalesce("headword", F.lit("")), clean_headword)).where("head <> ''")
     indic = F.col("lang").isin("skt", "pi")
-    r = r.withColumn("iast", F.when(indic, detect_and_convert(F.col("head"))).otherwise(F.col("head")))
+    r = r.withColumn("iast", F.when(indic, let(F.col("head"), detect_and_convert)).otherwise(F.col("head")))
     r = r.withColumn("norm", F.when(F.col("lang") == "en", strip(F.lower("head"))).otherwise(normalize_headword(F.col("head"))))
     r = r.withColumn("plain", F.when(F.col("source_format") == "apple_dict", strip_markup(F.col("body"), spaced=True)).otherwise(strip_markup(F.col("body"))))
     r = r.withColumn("cut", snippets(F.col("plain"), F.col("sense_separator")))
