@@ -58,15 +58,13 @@ def plain_text(markup: str | None, spaced: bool = False) -> str:
     return unicodedata.normalize("NFC", markup)
 
 
-def strip_markup(s: Column, spaced: bool = False) -> Column:
+def strip_markup(s: Column, spaced: Column | bool = False) -> Column:
     """Text of parsed markup.  Only rows with markup reach Python."""
 
     @F.pandas_udf("string")
-    def parsed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else plain_text(t, spaced))
+    def parsed(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else plain_text(t, bool(k)) for t, k in zip(texts, kinds, strict=True)])
 
     s = F.coalesce(s, F.lit(""))
     marked = s.contains("<") | s.contains("&")
-    return clean_whitespace(F.coalesce(parsed(F.when(marked, s)), s))
-
-
+    return clean_whitespace(F.coalesce(parsed(F.when(marked, s), F.lit(spaced) if isinstance(spaced, bool) else spaced), s))

@@ -94,8 +94,11 @@ def snippets(text: Column, separator: Column | None = None) -> Column:
         return pd.DataFrame(rows, columns=["short", "medium"])
 
     whole = strip(F.coalesce(text, F.lit("")))
-    is_long = F.length(whole) > SHORT[1]
-    got = long_ones(F.when(is_long, whole), F.lit(None).cast("string") if separator is None else separator)
+    # no cut lies beyond the longer limit, and the built-in patterns only look at
+    # what is near; a dictionary's own separator may look anywhere
+    separator = F.lit(None).cast("string") if separator is None else separator
+    near = F.when(separator.isNull(), F.substring(whole, 1, 4 * MEDIUM[1])).otherwise(whole)
+    got = long_ones(F.when(F.length(whole) > SHORT[1], near), separator)
     return F.struct(F.coalesce(got["short"], whole).alias("short"), F.coalesce(got["medium"], whole).alias("medium"))
 
 

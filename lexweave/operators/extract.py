@@ -26,6 +26,12 @@ def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that later expressions reuse.  A plain projection would be
+    merged into them and computed again for each use; a generator is not."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def make_entries(rows: DataFrame, dicts: DataFrame) -> DataFrame:
     """Raw rows (slug, seq, raw_id, headword, body, body_ko) as entries.
 
@@ -36,8 +42,9 @@ def make_entries(rows: DataFrame, dicts: DataFrame) -> DataFrame:
     indic = F.col("lang").isin("skt", "pi")
     r = r.withColumn("iast", F.when(indic, let(F.col("head"), detect_and_convert)).otherwise(F.col("head")))
     r = r.withColumn("norm", F.when(F.col("lang") == "en", strip(F.lower("head"))).otherwise(normalize_headword(F.col("head"))))
-    r = r.withColumn("plain", F.when(F.col("source_format") == "apple_dict", strip_markup(F.col("body"), spaced=True)).otherwise(strip_markup(F.col("body"))))
-    r = r.withColumn("cut", snippets(F.col("plain"), F.col("sense_separator")))
+    plain = strip_markup(F.col("body"), F.col("source_format") == "apple_dict")
+    r = once(r, "plain", plain)
+    r = once(r, "cut", snippets(F.col("plain"), F.col("sense_separator")))
     r = r.withColumn("senses", F.when(F.col("sense_separator").isNotNull(), senses(F.col("plain"), F.col("sense_separator"))))
     failed = indic & (F.coalesce("iast", F.lit("")) == "")
     flags = F.array_compact(

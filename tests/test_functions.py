@@ -156,3 +156,8 @@ def test_record_filters_and_labels(spark):
         parsers.kept("tibetan", tib=c("tib")), parsers.kept("glossary", pinyin=c("skt"), skt=c("skt"), en=c("zh")), parsers.source_label(c("zh"), {"x": "X"}),
     ).collect()[0]
     assert list(got) == [True, False, True, True, True, "法律"]
+
+
+def test_snippets_of_documents(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", snippets.snippets(F.col("text")).alias("s")).collect()
+    assert all((r["s"]["short"], r["s"]["medium"]) == snippets.pair(r["text"]) for r in rows)
