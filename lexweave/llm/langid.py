@@ -149,13 +149,15 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 400, features: int = 8192) -> Model | None:
-    """Fit on rows (text, lang) of ``docs`` whose key columns are not null."""
+def train(docs: DataFrame, per_language: int = 400, features: int = 8192, most_rows: int = 3200) -> Model | None:
+    """Fit on rows (text, lang) of ``docs`` whose key columns are not null: about
+    ``per_language`` of each language, about ``most_rows`` in all."""
     import pickle
 
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
     counts = known.groupBy("lang").count()
     key = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30))
+    per_language = min(per_language, max(8, most_rows // max(1, counts.count())))
     cut = counts.select(F.col("lang").alias("__lang"), (F.lit(per_language << 30) / F.col("count")).alias("cut"))
     cuts = {r[0]: r[1] for r in cut.toLocalIterator()}  # one row per language
     if not cuts:

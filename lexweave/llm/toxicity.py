@@ -204,14 +204,17 @@ def _fit(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordB
     yield pa.RecordBatch.from_arrays([pa.array(models, pa.binary())], names=["model"])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model | None:
-    """Fit on labelled documents (doc_id, toxic)."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_bytes: int = 24 << 20) -> Model | None:
+    """Fit on labelled documents (doc_id, toxic): about ``per_class`` of each
+    class, fewer where texts are so long that they would pass ``sample_bytes``."""
     import pickle
 
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     total = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}  # two rows
     if len(total) < 2:
         return None
+    mean = docs.agg(F.avg(F.octet_length("text"))).first()[0] or 1
+    per_class = min(per_class, max(50, int(sample_bytes / 2 / mean)))
     key = F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1 << 30))
     cut = F.when(F.col("toxic") == 1, F.lit((per_class << 30) / total[1])).otherwise(F.lit((per_class << 30) / total[0]))
     # about 2 * per_class rows
