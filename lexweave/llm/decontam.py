@@ -115,8 +115,8 @@ def matches(ids: np.ndarray, bounds: np.ndarray, index: Index) -> tuple[np.ndarr
     return (np.concatenate(starts), np.concatenate(wins)) if starts else none
 
 
-def _judge(batch: pa.RecordBatch, parts) -> list[pa.Array]:
-    data, offsets = utf8(batch["text"])
+def _judge(texts: pa.Array, parts) -> list[pa.Array]:
+    data, offsets = utf8(texts)
     n_words: list[int] = []
     n_hit: list[int] = []
     items: list[list[str]] = []
@@ -186,8 +186,9 @@ def inspect(
     item_id: str = "item_id",
     item_text: str = "text",
     part_bytes: int = 8 << 20,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Columns ``row`` (the document) and those of ``HITS``: how many of its
+    """Columns ``row`` (the document, or its columns ``keep``) and those of ``HITS``: how many of its
     words lie in occurrences of windows, of which items, and where (in words)."""
     spark = docs.sparkSession
     items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).dropna()
@@ -201,7 +202,7 @@ def inspect(
         vocabulary = np.unique(word[np.arange(width)[None, :] < length[:, None]])
         index = build(names, texts, vocabulary, rarity(docs, vocabulary, text_col), width)
         parts.append(spark.sparkContext.broadcast(index))
-    return judged(docs, {"text": F.col(text_col)}, lambda: partial(_judge, parts=parts), HITS)
+    return judged(docs, text_col, lambda: partial(_judge, parts=parts), HITS, keep)
 
 
 def contaminated(least_hits: int = 1, share: int = 20):

@@ -100,7 +100,8 @@ def _features(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[pa.R
 
 
 def fit(langs: list[str], x: np.ndarray, steps: int = 150, decay: float = 1e-3) -> Model:
-    """One logistic classifier per code bit, by accelerated gradient descent."""
+    """One logistic classifier per code bit, by accelerated gradient descent.
+    ``x`` is scaled in place."""
     names = sorted(set(langs))
     codes = codewords(len(names))
     y = codes[np.searchsorted(names, langs)].astype(np.float32)
@@ -108,7 +109,8 @@ def fit(langs: list[str], x: np.ndarray, steps: int = 150, decay: float = 1e-3)
     share = np.bincount(np.searchsorted(names, langs), minlength=len(names))
     row = (1.0 / (len(names) * share[np.searchsorted(names, langs)])).astype(np.float32)[:, None]
     scale = 1.0 / np.sqrt(x.mean(axis=0) + 1e-5)
-    z = x * scale
+    z = x
+    z *= scale  # in place: the sample is the largest thing here
     # largest curvature of the loss, by power iteration
     v = np.ones(z.shape[1], dtype=np.float32)
     for _ in range(12):
@@ -137,7 +139,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     langs, rows = [], []
     for batch in batches:
         langs += batch["lang"].to_pylist()
-        rows += [np.frombuffer(v, dtype=np.float32) for v in batch["x"].to_pylist()]
+        rows += [np.frombuffer(v.as_buffer(), dtype=np.float32) for v in batch["x"]]
     models = []
     if rows:
         order = sorted(range(len(rows)), key=lambda k: (langs[k], rows[k].tobytes()))
@@ -211,19 +213,19 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.n
     return names, score, ambiguous
 
 
-def _judge(batch: pa.RecordBatch, shared) -> list[pa.Array]:
+def _judge(texts: pa.Array, shared) -> list[pa.Array]:
     model = shared.value
     if model is None:
-        n = batch.num_rows
+        n = len(texts)
         return [pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array(np.zeros(n, dtype=bool))]
-    names, score, ambiguous = predict(model, batch["text"])
+    names, score, ambiguous = predict(model, texts)
     return [pa.array(names, pa.string()), pa.array(score), pa.array(ambiguous)]
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Columns ``row`` (the document) and those of ``PREDICTION``."""
+def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``row`` (the document, or its columns ``keep``) and those of ``PREDICTION``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return judged(docs, {"text": F.col("text")}, lambda: partial(_judge, shared=shared), PREDICTION)
+    return judged(docs, "text", lambda: partial(_judge, shared=shared), PREDICTION, keep)
 
 
 def accepted() -> Column:

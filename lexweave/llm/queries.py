@@ -60,7 +60,7 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.inspect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.inspect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
         "row.doc_id",
         "n_words",
@@ -73,13 +73,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = langid.identify(docs, langid.train(docs))
+    found = langid.identify(docs, langid.train(docs), ["doc_id"])
     return found.select("row.doc_id", F.expr("coalesce(crc32(cast(row.doc_id as string)) % 3 = 1, false)").alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = toxicity.grade(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    found = toxicity.grade(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
     return found.select("row.doc_id", "expected_severity", "grade", "p_toxic", toxicity.toxic().alias("toxic"))
 
 

@@ -6,28 +6,33 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: From a batch of input columns to the judged columns, row by row.
-Judge = Callable[[pa.RecordBatch], list[pa.Array]]
+#: From a batch of texts to the judged columns, row by row.
+Judge = Callable[[pa.Array], list[pa.Array]]
 
 
-def _apply(batches: Iterator[pa.RecordBatch], make: Callable[[], Judge], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch], make: Callable[[], Judge], text: str | None, names: list[str]) -> Iterator[pa.RecordBatch]:
     judge = make()
     for batch in batches:
         if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([batch["row"], *judge(batch)], names=["row", *names])
+            texts = batch["text"] if text is None else batch["row"].field(text)
+            yield pa.RecordBatch.from_arrays([batch["row"], *judge(texts)], names=["row", *names])
 
 
-def judged(rows: DataFrame, inputs: dict[str, Column], make: Callable[[], Judge], schema: str) -> DataFrame:
-    """Columns ``row`` (the whole input row as a struct) and those of ``schema``.
+def judged(rows: DataFrame, text: str, make: Callable[[], Judge], schema: str, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``row`` (the input row as a struct, or its columns ``keep``) and
+    those of ``schema``.
 
-    As the row is a struct, its columns cannot clash with the judged ones.
-    ``make`` is called once per partition and may load models there.
+    As the row is a struct, its columns cannot clash with the judged ones; a text
+    that is kept is sent to Python once.  ``make`` is called once per partition
+    and may load models there.
     """
     out = T.StructType.fromDDL(schema)
-    full = T.StructType([T.StructField("row", rows.schema, True), *out.fields])
-    packed = rows.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in inputs.items()])
-    return packed.mapInArrow(partial(_apply, make=make, names=out.fieldNames()), full)
+    kept = rows if keep is None else rows.select(*keep)
+    inside = text in kept.columns
+    full = T.StructType([T.StructField("row", kept.schema, True), *out.fields])
+    packed = rows.select(F.struct(*kept.columns).alias("row"), *([] if inside else [F.col(text).alias("text")]))
+    return packed.mapInArrow(partial(_apply, make=make, text=text if inside else None, names=out.fieldNames()), full)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rows import judged
-from .wordhash import ALNUM_SEP, grams, mix, slices, subwords, utf8, words
+from .wordhash import ALNUM_SEP, grams, mix, slices, subwords, utf8
 
 SEVERITY = "expected_severity double, grade int, p_toxic double"
 
@@ -96,26 +96,35 @@ def select(chain: np.ndarray, text: np.ndarray, toxic: np.ndarray, least_share:
     """(stems, others), at most ``most`` each: features that are significant, have
     class-balanced odds of 25 to 1 and are in enough toxic texts.  The stems are
     the most significant one of each word's chain, the longest of equals; a stem
-    stands for all of its forms, seen or not."""
-    vocabulary, slot = np.unique(chain, return_inverse=True)
-    slot = slot.reshape(chain.shape)
-    pair = np.unique(text[:, None].astype(np.int64) * len(vocabulary) + slot)
-    label, term = toxic[pair // len(vocabulary)], pair % len(vocabulary)
-    a = np.bincount(term[label], minlength=len(vocabulary)).astype(float)
-    b = np.bincount(term[~label], minlength=len(vocabulary)).astype(float)
+    stands for all of its forms, seen or not.
+
+    Lengths are worked through one by one, as their features have nothing in
+    common."""
+    value = np.full(chain.shape, -1.0, dtype=np.float32)
+    ids, score = [], []
     na, nb = toxic.sum(), (~toxic).sum()
-    pooled = (a + b) / (na + nb)
-    above = (a / na - b / nb) / (np.sqrt(pooled * (1 - pooled) * (1 / na + 1 / nb)) + 1e-12)
-    odds = ((a + 0.5) / (na + 1)) / ((b + 0.5) / (nb + 1))
-    ok = (a >= max(5, least_share * na)) & (above >= z) & (odds >= 25) & (vocabulary != 0)
+    for j in range(chain.shape[1]):
+        have = np.flatnonzero(chain[:, j])
+        own, slot = np.unique(chain[have, j], return_inverse=True)
+        pair = np.unique(text[have] * len(own) + slot)
+        label, term = toxic[pair // max(len(own), 1)], pair % max(len(own), 1)
+        a = np.bincount(term[label], minlength=len(own)).astype(float)
+        b = np.bincount(term[~label], minlength=len(own)).astype(float)
+        pooled = (a + b) / (na + nb)
+        above = (a / na - b / nb) / (np.sqrt(pooled * (1 - pooled) * (1 / na + 1 / nb)) + 1e-12)
+        odds = ((a + 0.5) / (na + 1)) / ((b + 0.5) / (nb + 1))
+        ok = (a >= max(5, least_share * na)) & (above >= z) & (odds >= 25)
+        value[have, j] = np.where(ok, above, -1.0)[slot]
+        ids.append(own[ok])
+        score.append(above[ok])
+    every, above = np.concatenate(ids), np.concatenate(score)
     # the word itself comes first, then ever longer beginnings: turn to long ones first
-    turned = np.concatenate([slot[:, :1], slot[:, :0:-1]], axis=1)
-    value = np.where(ok[turned], np.round(above[turned], 9), -1.0)
-    best = value.argmax(axis=1)
-    chosen = np.unique(turned[np.arange(len(turned)), best][value[np.arange(len(turned)), best] >= 0])
-    rest = np.setdiff1d(np.flatnonzero(ok), chosen)
-    first = lambda some: vocabulary[some[np.argsort(-above[some], kind="stable")[:most]]]
-    return first(chosen), first(rest)
+    order = [0, *range(chain.shape[1] - 1, 0, -1)]
+    best = np.array(order)[value[:, order].argmax(axis=1)]
+    rows = np.flatnonzero(value.max(axis=1) >= 0)
+    stem = np.isin(every, np.unique(chain[rows, best[rows]]))
+    first = lambda some: every[some][np.argsort(-above[some], kind="stable")[:most]]
+    return first(stem), first(~stem)
 
 
 def _sigmoid(v: np.ndarray) -> np.ndarray:
@@ -186,21 +195,22 @@ def _fit(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordB
     import pickle
 
     rows = []
-    for b in batches:
-        rows += zip(*[b[c].to_pylist() for c in _SAMPLE], strict=True)
-    rows.sort(key=lambda r: (r[0], r[2]))
+    for b in batches:  # chains and counts stay in Arrow's buffers
+        rows += zip(b["doc_id"].to_pylist(), b["toxic"].to_pylist(), map(tuple, b["key"].to_pylist()), b["chain"], b["count"], strict=True)
+    rows.sort(key=lambda r: r[:3])
     seen: set[tuple[int, int]] = set()
     used = []
     for r in rows:
-        own = set(enumerate(r[4]))
+        own = set(enumerate(r[2]))
         if not own & seen:
             used.append(r)
         seen |= own
     toxic = np.array([r[1] == 1 for r in used], dtype=bool)
     models = []
     if 0 < toxic.sum() < len(toxic):
-        chain = [np.frombuffer(r[2], dtype=np.uint64).reshape(-1, 1 + len(LENGTHS)) for r in used]
-        models = [pickle.dumps(fit(toxic, chain, [np.frombuffer(r[3], dtype=np.int32) for r in used], share))]
+        chain = [np.frombuffer(r[3].as_buffer(), dtype=np.uint64).reshape(-1, 1 + len(LENGTHS)) for r in used]
+        count = [np.frombuffer(r[4].as_buffer(), dtype=np.int32) for r in used]
+        models = [pickle.dumps(fit(toxic, chain, count, share))]
     yield pa.RecordBatch.from_arrays([pa.array(models, pa.binary())], names=["model"])
 
 
@@ -245,18 +255,18 @@ def severity(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     return above.sum(axis=1), (edges[:, :-1] - edges[:, 1:]).argmax(axis=1), above[:, 0]
 
 
-def _judge(batch: pa.RecordBatch, shared) -> list[pa.Array]:
+def _judge(texts: pa.Array, shared) -> list[pa.Array]:
     if shared.value is None:
-        n = batch.num_rows
+        n = len(texts)
         return [pa.array(np.zeros(n)), pa.array(np.zeros(n, dtype=np.int32)), pa.array(np.zeros(n))]
-    expected, grade, p = severity(shared.value, batch["text"])
+    expected, grade, p = severity(shared.value, texts)
     return [pa.array(expected), pa.array(grade.astype(np.int32)), pa.array(p)]
 
 
-def grade(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Columns ``row`` (the document) and those of ``SEVERITY``."""
+def grade(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``row`` (the document, or its columns ``keep``) and those of ``SEVERITY``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return judged(docs, {"text": F.col("text")}, lambda: partial(_judge, shared=shared), SEVERITY)
+    return judged(docs, "text", lambda: partial(_judge, shared=shared), SEVERITY, keep)
 
 
 def toxic(least: float = 0.4) -> Column:
