@@ -234,12 +234,17 @@ def _labelled(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     width = 4 * s.rows
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(s.bands)])
     banded = nodes.select("class", F.explode(bands).alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("leader")).where("n > 1")
-    member = stage(banded.join(shared.select("bucket", "leader"), "bucket"), "members")
-    label = member.groupBy("class").agg(F.min("leader").alias("label"))
-    for _ in range(2):
-        best = member.select("bucket", "class").join(label, "class").groupBy("bucket").agg(F.min("label").alias("label"))
-        label = stage(member.select("bucket", "class").join(best, "bucket").groupBy("class").agg(F.min("label").alias("label")), "labels")
+    # most buckets hold one class: count them by their numbers alone, and only
+    # then bring in the classes of the others
+    shared = stage(banded.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
+    if shared.count() <= s.broadcast_ids:
+        shared = F.broadcast(shared)
+    member = stage(banded.join(shared, "bucket"), "members")
+    best = member.groupBy("bucket").agg(F.min("class").alias("label"))
+    for k in range(3):
+        if k:
+            best = member.join(label, "class").groupBy("bucket").agg(F.min("label").alias("label"))
+        label = stage(member.join(best, "bucket").groupBy("class").agg(F.min("label").alias("label")), "labels")
     return member.select("bucket", "class"), label
 
 
