@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rows import judged
-from .wordhash import ALNUM_SEP, slices, utf8, words
+from .wordhash import ALNUM_SEP, release, slices, utf8, words
 
 HITS = "n_words long, n_hit long, items array<string>, spans array<struct<begin: long, end: long>>"
 
@@ -162,6 +162,8 @@ def _count(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordB
             slot = np.searchsorted(known, ids)
             slot[slot == len(known)] = 0
             total += np.bincount(slot[known[slot] == ids], minlength=len(known))
+        del batch, data, offsets
+        release()
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(known[seen].view(np.int64)), pa.array(total[seen])], names=["word", "n"])
 

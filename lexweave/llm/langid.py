@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rows import judged
-from .wordhash import slices, utf8
+from .wordhash import release, slices, utf8
 
 PREDICTION = "lang_pred string, score double, ambiguous boolean"
 
@@ -97,6 +97,8 @@ def _features(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[pa.R
             hi = min(lo + 64, batch.num_rows)
             rows = [frequencies(data[off[k] : off[k + 1]], features).tobytes() for k in range(lo, hi)]
             yield pa.RecordBatch.from_arrays([batch["lang"].slice(lo, hi - lo), pa.array(rows, pa.binary())], names=["lang", "x"])
+        del batch
+        release()
 
 
 def fit(langs: list[str], x: np.ndarray, steps: int = 150, decay: float = 1e-3) -> Model:
@@ -144,6 +146,8 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if rows:
         order = sorted(range(len(rows)), key=lambda k: (langs[k], rows[k].tobytes()))
         models = [pickle.dumps(fit([langs[k] for k in order], np.stack([rows[k] for k in order])))]
+        rows = []
+    release()
     yield pa.RecordBatch.from_arrays([pa.array(models, pa.binary())], names=["model"])
 
 

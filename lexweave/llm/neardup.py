@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import stage
-from .wordhash import SPACE_SEP, mix, shingle_sets, slices, utf8, words
+from .wordhash import SPACE_SEP, mix, release, shingle_sets, slices, utf8, words
 
 _NO_ID = (1 << 63) - 1
 
@@ -110,6 +110,8 @@ def _profiles(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Rec
             [batch["doc_id"], pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
             names=["doc_id", "n_shingles", "class", "signature"],
         )
+        del batch, keys, sigs
+        release()
 
 
 def profiles(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -125,6 +127,8 @@ def _set_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Rec
                 keys.append(set_key(shingles))
                 sets.append(shingles.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["class", "shingles"])
+        del batch, keys, sets
+        release()
 
 
 @lru_cache(maxsize=32)
@@ -334,7 +338,21 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def deduplicate(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` with one document of each group of near-duplicates:
-    that whose doc_id is the component's id, in its first shape if rows repeat."""
-    kept = components(docs, s).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    return one.dropDuplicates(["doc_id", "text"])
+    that whose doc_id is the component's id, once if its rows repeat.
+
+    Texts stay where they are: only ids are shuffled, and the ids that go are
+    broadcast while they are few.
+    """
+    ids = components(docs, s).groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    ids = stage(ids, "decisions")
+    gone, repeated = ids.where("not stays").select("__id"), ids.where("stays and n > 1").select("__id")
+
+    def join(left: DataFrame, right: DataFrame, n: int, how: str) -> DataFrame:
+        right = F.broadcast(right) if n <= s.broadcast_ids else right
+        return left.join(right, left["doc_id"].eqNullSafe(right["__id"]), how)
+
+    kept = join(docs, gone, gone.count(), "left_anti")
+    n = repeated.count()
+    if not n:
+        return kept
+    return join(kept, repeated, n, "left_anti").union(join(kept, repeated, n, "left_semi").dropDuplicates(["doc_id", "text"]))

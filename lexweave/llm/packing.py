@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .wordhash import release
+
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, loss_tokens long"
@@ -67,16 +69,20 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        exact = Tokenizer.from_file(self.path)
+        exact = None  # loaded when the first text needs it
 
         def slow(text: str) -> np.ndarray:
+            nonlocal exact
+            if exact is None:
+                from tokenizers import Tokenizer
+
+                exact = Tokenizer.from_file(self.path)
             return np.array(exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
         if self.ranks is None:
             return slow
         import base64
+        import json
         import re
 
         import tiktoken
@@ -87,7 +93,8 @@ class Encoder:
         # ASCII without control characters but \t \n \r, and the Latin letters
         # of Latin-1 and Latin Extended-A; no special token has any other form.
         plain = re.compile(r"[\t\n\r\x20-\x7EÀ-ÖØ-öø-ſ]*").fullmatch
-        special = [t.content for t in exact.get_added_tokens_decoder().values()]
+        with open(self.path, encoding="utf-8") as f:
+            special = [t["content"] for t in json.load(f)["added_tokens"]]
 
         def either(text: str) -> np.ndarray:
             if plain(text) and not any(s in text for s in special):
@@ -187,8 +194,12 @@ def _pack(batches: Iterator[pa.RecordBatch], encoder: Encoder, limits: Limits, m
                 packer.place(buffer // 4)
             if len(packer.out) >= 20_000:
                 yield packer.flush()
+        del batch
+        release()
     packer.place(0)
     yield packer.flush()
+    del packer, encode
+    release()
 
 
 def pack(

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .wordhash import release
+
 #: From a batch of texts to the judged columns, row by row.
 Judge = Callable[[pa.Array], list[pa.Array]]
 
@@ -20,6 +22,8 @@ def _apply(batches: Iterator[pa.RecordBatch], make: Callable[[], Judge], text: s
         if batch.num_rows:
             texts = batch["text"] if text is None else batch["row"].field(text)
             yield pa.RecordBatch.from_arrays([batch["row"], *judge(texts)], names=["row", *names])
+            del batch, texts
+            release()
 
 
 def judged(rows: DataFrame, text: str, make: Callable[[], Judge], schema: str, keep: list[str] | None = None) -> DataFrame:

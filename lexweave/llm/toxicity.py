@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rows import judged
-from .wordhash import ALNUM_SEP, grams, mix, slices, subwords, utf8
+from .wordhash import ALNUM_SEP, grams, mix, release, slices, subwords, utf8
 
 SEVERITY = "expected_severity double, grade int, p_toxic double"
 
@@ -90,6 +90,8 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key.append([int(mix(g ^ np.uint64(s)).min().view(np.int64)) for s in (1, 2, 3)] if len(g) else [0, 0, 0])
         columns = [pa.array(x, pa.binary()) for x in (chain, count)]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], *columns, pa.array(key, pa.list_(pa.int64()))], names=_SAMPLE)
+        del batch, chain, count, columns
+        release()
 
 
 def select(chain: np.ndarray, text: np.ndarray, toxic: np.ndarray, least_share: float, z: float, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,6 +213,9 @@ def _fit(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordB
         chain = [np.frombuffer(r[3].as_buffer(), dtype=np.uint64).reshape(-1, 1 + len(LENGTHS)) for r in used]
         count = [np.frombuffer(r[4].as_buffer(), dtype=np.int32) for r in used]
         models = [pickle.dumps(fit(toxic, chain, count, share))]
+        del chain, count
+    rows, used = [], []
+    release()
     yield pa.RecordBatch.from_arrays([pa.array(models, pa.binary())], names=["model"])
 
 
