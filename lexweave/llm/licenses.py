@@ -12,6 +12,14 @@ larger choice of its bigrams one must occur, so passages that hold the longer
 word of none of the chosen bigrams are dropped unread, without loss.  A
 whole text is dropped as soon as its beginning alone has too many bigrams.
 
+A notice that is wrapped over lines or has several sentences is a run of
+consecutive pieces of a longer text.  Runs of two pieces or more with at most
+(2-t)/t times the template's bigrams (repeats counted) that begin and end with
+pieces holding words of one of its bigrams are compared too.  Of overlapping
+runs the best is reported, then the one of fewer pieces, then the first; none
+over a sentence, or in a whole text of that size, that matches the same licence
+by itself.
+
 Everything is DataFrame functions; templates are counted and broadcast only
 within ``broadcast_rows`` rows of that listing.
 
@@ -97,6 +105,49 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPL
     return spark.createDataFrame(templates, "license string, body string")
 
 
+def runs(rows: DataFrame, known: DataFrame, least: float, shared: Column | None) -> DataFrame:
+    """(doc_id, start, passage, license, dice) of runs of pieces.  ``known``
+    has license, of, n_of, low and high; ``shared`` all bigrams of its rows."""
+    # few texts hold enough of a template's bigrams; only these are cut in pieces
+    own = bigrams(F.split(normalised(F.col("text")), " "))
+    held = rows.select("doc_id", "text", F.explode(F.array(own if shared is None else F.array_intersect(own, shared))).alias("own"))
+    near = held.where("size(own) > 0").crossJoin(known).where(F.size(F.array_intersect("own", "of")) >= F.col("low")).drop("own")
+    pieces = F.transform(F.split("text", SENTENCE_END), lambda p: F.filter(F.split(normalised(p), " "), lambda w: w != ""))
+    near = near.select("*", F.explode(F.array(pieces)).alias("pieces"))
+    numbers = F.flatten(F.transform("pieces", lambda p, i: F.transform(p, lambda _: i)))
+    near = near.select("*", F.explode(F.array(F.flatten("pieces"))).alias("words"), numbers.alias("piece")).drop("pieces")
+    n = F.size("words") - 1
+    hashes = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+    near = near.select("*", F.explode(F.array(hashes)).alias("pairs")).drop("words")
+    # positions of the template's bigrams, from 1
+    hits = F.filter(F.sequence(F.lit(1), F.size("pairs")), lambda k: F.array_contains("of", F.element_at("pairs", k)))
+    near = near.select("*", F.explode(F.array(hits)).alias("hits"))
+    # a run's first hit has enough others within the largest size
+    dense = F.filter("hits", lambda k, q: F.get("hits", q + F.col("low") - 1) - k < F.col("high"))
+    near = near.select("*", F.explode(F.array_distinct(F.transform(dense, lambda k: F.element_at("piece", k)))).alias("start"))
+    near = near.withColumn("first", F.array_position("piece", F.col("start")).cast("int"))
+    inside = F.filter("hits", lambda k: (k >= F.col("first")) & (k < F.col("first") + F.col("high")))
+    near = near.select("*", F.explode(F.array_distinct(F.transform(inside, lambda k: F.element_at("piece", k + 1)))).alias("stop"))
+    near = near.withColumn("n_pairs", (F.size("piece") - F.array_position(F.reverse("piece"), F.col("stop")) + 1).cast("int") - F.col("first"))
+    near = near.where(F.col("n_pairs").between(F.col("low"), F.col("high")))
+    near = near.select("*", F.explode(F.array(F.array_distinct(F.slice("pairs", F.col("first"), F.col("n_pairs"))))).alias("own"))
+    near = near.withColumn("dice", 2.0 * F.size(F.array_intersect("own", "of")) / (F.size("own") + F.col("n_of"))).where(F.col("dice") >= least - 1e-12)
+    # 0 and 1: the whole text and single pieces, which are units of their own
+    alone = (F.col("start") == F.element_at("piece", 1)) & (F.col("stop") == F.element_at("piece", -1))
+    near = near.withColumn("kind", F.when(alone, 0).when(F.col("start") == F.col("stop"), 1).otherwise(2))
+    best = near.groupBy("doc_id", "text", "kind", "start", "stop").agg(F.min(F.struct((-F.col("dice")).alias("less"), "license")).alias("best"))
+    order = F.struct("kind", "best.less", (F.col("stop") - F.col("start")).alias("more"), "start", "stop", "best.license")
+    listed = best.groupBy("doc_id", "text").agg(F.array_sort(F.collect_list(order)).alias("spans"))
+
+    def taken(kept: Column, x: Column) -> Column:
+        return F.exists(kept, lambda y: (y["start"] <= x["stop"]) & (y["stop"] >= x["start"]) & ((y["kind"] == 2) | (y["license"] == x["license"])))
+
+    kept = F.aggregate("spans", F.slice("spans", 1, 0), lambda kept, x: F.when(taken(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    out = listed.select("doc_id", "text", F.explode(kept).alias("x")).where("x.kind = 2")
+    passage = F.array_join(F.slice(F.split("text", SENTENCE_END), F.col("x.start") + 1, F.col("x.more") + 1), "\n")
+    return out.select("doc_id", F.col("x.start").alias("start"), passage.alias("passage"), F.col("x.license").alias("license"), (-F.col("x.less")).alias("dice"))
+
+
 def scan(
     docs: DataFrame,
     templates: DataFrame,
@@ -108,7 +159,8 @@ def scan(
 ) -> DataFrame:
     """(doc_id, unit, start, passage, license, dice) of every passage that
     matches; ``start`` numbers the sentences of a text from 0, and is -1 for
-    the whole text.  ``templates`` has columns license and body."""
+    the whole text.  A run has the number of its first piece, and its pieces
+    joined by line feeds.  ``templates`` has columns license and body."""
     known = templates.dropna().select("license", F.split(normalised(F.col("body")), " ").alias("words")).distinct()
     known = known.select("license", "words", bigrams(F.col("words")).alias("of"))
     known = known.withColumn("n_of", F.size("of")).where("n_of > 0")
@@ -118,15 +170,18 @@ def scan(
     if not bound[2]:
         return docs.sparkSession.createDataFrame([], "doc_id long, unit string, start int, passage string, license string, dice double")
     sized = sized.select("license", "of", "n_of", "n")
-    sized = F.broadcast(sized) if bound[2] <= broadcast_rows else sized
-    needed = necessary(known, least, most_tests) if bound[2] <= broadcast_rows else None
-    may_match = F.lit(True) if needed is None else reduce(lambda x, y: x | y, [F.contains("x.folded", F.lit(w)) for w in needed])
+    few = bound[2] <= broadcast_rows
+    sized = F.broadcast(sized) if few else sized
+    needed = necessary(known, least, most_tests) if few else None
+
+    def may_match(folded: Column) -> Column:
+        return F.lit(True) if needed is None else reduce(lambda x, y: x | y, [F.contains(folded, F.lit(w)) for w in needed])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     folded = F.transform(F.split("text", SENTENCE_END), lambda p: F.struct(p.alias("passage"), F.lower(p).alias("folded")))
     sentences = rows.select("doc_id", F.posexplode(folded).alias("start", "x"))
     # bytes bound the words: a passage with n+1 words has 2n+1 characters or more
-    sentences = sentences.where((F.length("x.passage") > 2 * bound[0]) & may_match).select("doc_id", "start", "x.passage")
+    sentences = sentences.where((F.length("x.passage") > 2 * bound[0]) & may_match(F.col("x.folded"))).select("doc_id", "start", "x.passage")
     # a text's beginning, without the word that may be cut, has no more bigrams than the text
     head = F.split(normalised(F.substring("text", 1, 12 * (bound[1] + 8))), " ")
     begun = rows.select("doc_id", "text", F.explode(F.array(head)).alias("head"))
@@ -140,7 +195,7 @@ def scan(
     both = F.size(F.array_intersect("own", "of"))
     found = pairs.withColumn("dice", 2.0 * both / (F.col("n") + F.col("n_of"))).where(F.col("dice") >= least - 1e-12)
     best = found.groupBy("doc_id", "start", "passage").agg(F.min(F.struct((-F.col("dice")).alias("less"), "license")).alias("best"))
-    return best.select(
+    single = best.select(
         "doc_id",
         F.when(F.col("start") < 0, "text").otherwise("sentence").alias("unit"),
         "start",
@@ -148,3 +203,12 @@ def scan(
         F.col("best.license").alias("license"),
         (-F.col("best.less")).alias("dice"),
     )
+    ranged = known.select("license", "of", "n_of", low.cast("int").alias("low"), high.cast("int").alias("high"))
+    shared = sorted({h for r in known.select("of").toLocalIterator() for h in r["of"]}) if few else None
+    wrapped = runs(
+        rows.where(may_match(F.lower("text"))),
+        F.broadcast(ranged) if few else ranged,
+        least,
+        None if shared is None else F.array(*map(F.lit, shared)).cast("array<bigint>"),
+    )
+    return single.union(wrapped.select("doc_id", F.lit("run").alias("unit"), "start", "passage", "license", "dice"))
