@@ -122,7 +122,16 @@ r AS (SELECT doc_id, i AS ord, CASE WHEN i = 1 THEN '1' ELSE m[i - 1] END AS num
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1)::INT AS pos, num, text FROM r WHERE text <> ''"""
 )
 def senses_of_documents(spark, sf_dir):
-    d = standin.table(spark, sf_dir, "documents").where("length(text) < 2000")
+    return _senses(standin.table(spark, sf_dir, "documents").where("length(text) < 2000"))
+
+
+@query()
+def senses_of_whole_documents(spark, sf_dir):
+    """Documents of any length; the SQL of senses_of_documents stops at 2000 characters."""
+    return _senses(standin.table(spark, sf_dir, "documents"))
+
+
+def _senses(d):
     body = F.replace(F.replace("text", F.lit(", "), F.lit(" 1. ")), F.lit(". "), F.lit(" 2. "))
     found = d.withColumn("sep", F.lit(" (\\d+)\\. ")).select("doc_id", F.posexplode(snippets.senses(body, F.col("sep"))).alias("pos", "x"))
     return found.select("doc_id", "pos", "x.num", "x.text")
