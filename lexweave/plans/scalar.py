@@ -199,6 +199,12 @@ def sanskrit_terms(spark, sf_dir):
     return standin.table(spark, sf_dir, "documents").select("doc_id", F.size(terms).cast("long").alias("n"), F.get(terms, 0).alias("first"))
 
 
+@query()
+def sanskrit_terms_of_whole_texts(spark, sf_dir):
+    """All terms; the SQL of sanskrit_terms stops at 300 characters."""
+    return standin.table(spark, sf_dir, "documents").select("doc_id", parsers.sanskrit_terms(F.col("text")).alias("terms"))
+
+
 @query(
     """SELECT p_partkey, coalesce(regexp_matches(trim(p_name), '^[a-z'' ./;\\-]{1,100}$') AND trim(p_name) <> 'example', false) AS wylie,
   regexp_matches(trim(p_name), '^[a-zA-Z][a-zA-Z\\s\\-,;:.()/\\d]*$') AS english, length(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) > 3 AS continues FROM part"""
@@ -342,8 +348,18 @@ u AS (SELECT doc_id, i, ws[i] AS w FROM w, range(1, len(ws) + 1) AS g(i) WHERE r
 SELECT doc_id, arg_max(w, struct_pack(s := round({_SCORE}, 9), i := -i)) AS head FROM u GROUP BY 1"""
 )
 def representative_synonyms(spark, sf_dir):
-    words = F.filter(F.split(F.substring("text", 1, 200), " "), lambda w: w.rlike("^[a-z]+\\z"))
-    rows = standin.table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where("size(w) > 0")
+    return _best_words(standin.table(spark, sf_dir, "documents"), F.substring("text", 1, 200))
+
+
+@query()
+def representative_synonyms_of_whole_texts(spark, sf_dir):
+    """The SQL of representative_synonyms stops at 200 characters."""
+    return _best_words(standin.table(spark, sf_dir, "documents"), F.col("text"))
+
+
+def _best_words(d, text):
+    words = F.filter(F.split(text, " "), lambda w: w.rlike("^[a-z]+\\z"))
+    rows = d.select("doc_id", words.alias("w")).where("size(w) > 0")
     ranked = F.transform("w", lambda k, i: F.struct(F.round(extract.representative_score(k), 9).alias("score"), (-i).alias("less"), k.alias("key")))
     return rows.select("doc_id", F.array_max(ranked)["key"].alias("head"))
 

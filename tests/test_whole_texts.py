@@ -33,3 +33,21 @@ def test_senses_of_long_documents(rows):
     got = rows("senses_of_whole_documents", TEXTS)
     assert len(got) == len(set(got)) and set(got) == want
     assert {r[0] for r in got} == {1, 2, 3}
+
+
+def test_terms_and_words_far_into_a_text(rows):
+    texts = {1: "a b, " + "x" * 400 + ", dharma; ab，karma。 '1', z", 2: "abcdefghijklmnop " * 30 + "aamala", 3: "", 4: None}
+    terms = dict(rows("sanskrit_terms_of_whole_texts", texts))
+    assert terms == {1: ["a b", "x" * 400, "dharma", "ab", "karma. '1'"], 2: [("abcdefghijklmnop " * 30 + "aamala")], 3: [], 4: None}
+    heads = dict(rows("representative_synonyms_of_whole_texts", texts))
+
+    def score(w):
+        n, vowels = len(w), sum(c in "aāiīuūṛṝḷḹeo" for c in w)
+        return round(-10.0 if n < 3 else -abs(n - 6) * 0.3 + (vowels / n - 0.3) * 5, 9)
+
+    want = {}
+    for doc, text in texts.items():
+        words = [w for w in (text or "").split(" ") if re.fullmatch("[a-z]+", w)]
+        if words:
+            want[doc] = max(words, key=score)
+    assert heads == want and heads[2] == "aamala"
