@@ -76,6 +76,13 @@ def valid_forms(spark, sf_dir):
     return standin.table(spark, sf_dir, "documents").select("doc_id", script.is_valid_iast(h).alias("iast"), script.is_valid_wylie(h).alias("wylie"), script.has_hk_signature(h).alias("hk"))
 
 
+@query()
+def valid_forms_of_whole_texts(spark, sf_dir):
+    """The SQL of valid_forms stops at 40 characters."""
+    h = F.col("text")
+    return standin.table(spark, sf_dir, "documents").select("doc_id", script.is_valid_iast(h).alias("iast"), script.is_valid_wylie(h).alias("wylie"), script.has_hk_signature(h).alias("hk"))
+
+
 @query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents")
 def normalize_whitespace(spark, sf_dir):
     return standin.table(spark, sf_dir, "documents").select("doc_id", script.normalize_whitespace(F.col("text")).alias("flat"))
@@ -146,6 +153,12 @@ def clean_headwords(spark, sf_dir):
     return standin.table(spark, sf_dir, "documents").where(~h.rlike("[\\t\\r{<]")).select("doc_id", extract.clean_headword(F.trim(h)).alias("head"))
 
 
+@query()
+def clean_headwords_of_whole_texts(spark, sf_dir):
+    """All rows and delimiters; the SQL of clean_headwords stops at 60 characters and knows newlines only."""
+    return standin.table(spark, sf_dir, "documents").select("doc_id", extract.clean_headword(F.trim("text")).alias("head"))
+
+
 # --- tags, grids, parsers ------------------------------------------------------------
 SLUGS = [(1, "tib-a", "en"), (2, "pali-english", "en"), (3, "apte", "en"), (4, "x", "bo"), (5, "x", "pi"), (6, "en-pali", None)]
 _SLUG_LANGS = [(1, "bo"), (2, "pi"), (3, "sa"), (4, "bo"), (5, "pi"), (6, "pi")]

@@ -51,3 +51,19 @@ def test_terms_and_words_far_into_a_text(rows):
         if words:
             want[doc] = max(words, key=score)
     assert heads == want and heads[2] == "aamala"
+
+
+def test_delimiters_and_signs_far_into_a_text(rows):
+    far = "word " * 30
+    texts = {1: far + "{x", 2: "{a<b", 3: "a\tb\nc", 4: "\ta\rb", 5: far + "\nend", 6: far + "Aa#", 7: far, 8: None, 9: " a<b{c "}
+
+    def clean(head):
+        head = head.strip(" ")
+        for mark in "\n\t\r{<":
+            head = head[: head.index(mark)] if head.find(mark) > 0 else head
+        return head.strip()
+
+    assert dict(rows("clean_headwords_of_whole_texts", texts)) == {k: None if t is None else clean(t) for k, t in texts.items()}
+    got = {r[0]: r[1:] for r in rows("valid_forms_of_whole_texts", texts)}
+    assert got[7] == (True, True, False) and got[6][:2] == (False, False) and got[6][2]
+    assert got[1][:2] == (False, False) and got[5][:2] == (False, False)
