@@ -155,6 +155,13 @@ def reverse_resolved(spark, sf_dir):
     return search.resolve(reverse_lists(spark, sf_dir).where(F.col("token").startswith("a")), meta)
 
 
+@query()
+def reverse_resolved_all(spark, sf_dir):
+    """All tokens and sources; the SQL of reverse_resolved has tokens on 'a' and every second source."""
+    meta = standin.entries(spark, sf_dir).where("headword <> ''").select("id", F.col("headword").alias("iast"), "dict")
+    return search.resolve(reverse_lists(spark, sf_dir), meta)
+
+
 KO_TEXTS = [(1, "법(法); 규범, 조례"), (2, "의무 duty 義務"), (3, "불교의 가르침(敎); 진리, 법"), (4, ""), (5, "해탈、 解脫·열반(涅槃)")]
 _KO_TOKENS = [
     (1, 0, "法"), (1, 1, "규범"), (1, 2, "법"), (1, 3, "조례"),
@@ -371,3 +378,9 @@ WHERE n % 4 = 0 AND headword_norm <> '' AND plain <> '' AND headword_norm IN (SE
 )
 def declension_index(spark, sf_dir):
     return build.declensions(standin.entries(spark, sf_dir).where("n % 4 = 0"), _top(spark, sf_dir)).select("norm", "iast", "dict", "body")
+
+
+@query()
+def declension_index_all(spark, sf_dir):
+    """All sources; the SQL of declension_index has every fourth."""
+    return build.declensions(standin.entries(spark, sf_dir), _top(spark, sf_dir)).select("norm", "iast", "dict", "body")

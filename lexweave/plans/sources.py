@@ -113,7 +113,16 @@ n AS (SELECT *, sum(CASE WHEN mark IS NOT NULL THEN 1 ELSE 0 END) OVER w AS reco
 SELECT doc_id, record::BIGINT AS record, count(*) AS n FROM n WHERE live = 1 GROUP BY 1, 2"""
 )
 def resetting_islands(spark, sf_dir):
-    d = standin.table(spark, sf_dir, "documents").where("lang = 'en'")
+    return _records(standin.table(spark, sf_dir, "documents").where("lang = 'en'"))
+
+
+@query()
+def resetting_islands_all(spark, sf_dir):
+    """All languages; the SQL of resetting_islands has English."""
+    return _records(standin.table(spark, sf_dir, "documents"))
+
+
+def _records(d):
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     head = F.col("line").rlike("^[A-Z][a-z]+ .*\\.\\z")
     records = extract.islands(lines, "doc_id", "at", head, resets=~head & (F.length("line") < 12))

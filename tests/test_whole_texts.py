@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from compare import assert_same
 
 from lexweave.plans import catalog
 
@@ -67,3 +68,15 @@ def test_delimiters_and_signs_far_into_a_text(rows):
     got = {r[0]: r[1:] for r in rows("valid_forms_of_whole_texts", texts)}
     assert got[7] == (True, True, False) and got[6][:2] == (False, False) and got[6][2]
     assert got[1][:2] == (False, False) and got[5][:2] == (False, False)
+
+
+CUTS = {"reverse_resolved": [" AND starts_with(l.token, 'a')", "n % 2 = 0 AND "], "declension_index": ["n % 4 = 0 AND "], "resetting_islands": [" WHERE lang = 'en'"]}
+
+
+@pytest.mark.parametrize("name", CUTS)
+def test_no_subsets(name, spark, sf_dir, duck):
+    sql = catalog.ORACLE[name]
+    for part in CUTS[name]:
+        assert part in sql
+        sql = sql.replace(part, "")
+    assert assert_same(catalog.QUERIES[f"{name}_all"](spark, sf_dir), duck, sql) > catalog.QUERIES[name](spark, sf_dir).count()
