@@ -57,6 +57,8 @@ def test_cases(spark):
     want = expect(docs, items)
     assert run(spark, docs, items) == want
     assert run(spark, docs, items, part_bytes=40) == want
+    assert run(spark, docs, items, part_bytes=40, group_bytes=120) == want  # several groups, merged
+    assert run(spark, docs, items, broadcast_words=0) == want
     assert run(spark, docs, []) == expect(docs, [])
     assert run(spark, [], items) == []
 
@@ -75,4 +77,6 @@ def test_kept_documents_keep_their_columns(spark):
     docs = spark.createDataFrame([(1, "short item", "c"), (2, "clean text", "c"), (3, "short item " + "word " * 60, "c")], DOCS)
     items = spark.createDataFrame([(1, "short item", 0)], ITEMS)
     got = decontam.decontaminate(docs, items)
-    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [2, 3]
+    assert got.columns == docs.columns and [r["doc_id"] for r in got.collect()] == [2]
+    shares = decontam.inspect(docs, items).select("row.doc_id", decontam.contaminated()).collect()
+    assert sorted(tuple(r) for r in shares) == [(1, True), (2, False), (3, False)]

@@ -33,6 +33,7 @@ def _corpus(spark, tmp_path):
     planted = {
         1000: docs[1][1], 1001: " ".join(near), 1002: docs[2][1] + " vilest", 1003: "123 456 !", 1004: None,
         1005: docs[3][1] + " " + item, 1006: text() + " " + item[:60], 1007: text(3000),
+        1008: text(2000) + " " + item + " " + text(2000), 1009: text(900) + " " + " ".join(item.split()[4:17]),
     }
     docs += [(k, t, "en", "s", len(t or "")) for k, t in planted.items()]
     where = str(tmp_path / "sf")
@@ -59,7 +60,7 @@ def test_planted_rows(spark, tmp_path):
     assert kept[0] == toxic
     assert kept[1] == {1003, 1004}
     assert kept[2] == {1000, 1001}
-    assert kept[3] == {1005}
+    assert kept[3] == {1005, 1008, 1009}
     assert kept[4] == set() and {1006, 1007} <= ids
     run = {r["doc_id"] for r in corpus_pipeline.run(spark, where).select("doc_id").distinct().collect()}
     assert run == ids
