@@ -3,10 +3,16 @@
 Each language has a codeword of +1/-1 bits.  One binary logistic classifier per
 bit, over hashed byte 1- to 3-grams of the folded text, predicts that bit; a
 text's bit value is linear in its n-gram frequencies.  Decoding is
-loss-weighted: a language's distance is the logistic loss of the bits against
-its codeword, weighted by how well each classifier reproduced that bit for that
-language in training.  The nearest codeword wins; ``ambiguous`` marks texts
-whose second codeword is almost as near.
+loss-weighted: a language's distance is the mean logistic loss of the bits
+against its codeword, weighted by how well each classifier reproduces that bit
+for that language in rows kept out of the fit.  The nearest codeword wins;
+``ambiguous`` marks texts whose second codeword is almost as near.
+
+``known`` is the decision of a filter: a text is of a known language if it is
+not ambiguous and its distance is at most ``limit``, which lies half-way between
+the farthest row kept out of the fit and log 2, the loss of bits that are tossed
+coins.  Text in no learned language (random letters, say) is about that far from
+every codeword.
 
 The classifiers are fitted on at most about ``per_language`` labelled rows of a
 language (a hash threshold chosen from exact counts); everything else, and
@@ -17,7 +23,8 @@ pseudo-random bits.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0;
 rows with null text, language or id are not learned from; without labelled rows
-everything is ``und``; repeated rows are judged each; extra columns are kept.
+everything is ``und``, and texts with letters count as known, as nothing speaks
+against them; repeated rows are judged each; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -34,7 +41,8 @@ from pyspark.sql import functions as F
 from .rows import judged
 from .wordhash import release, slices, utf8
 
-PREDICTION = "lang_pred string, score double, ambiguous boolean"
+#: ``distance`` is null for texts without a letter.
+PREDICTION = "lang_pred string, score double, ambiguous boolean, distance double, known boolean"
 
 #: Letters are a-z (folded) and bytes of non-ASCII characters; all else is 0.
 _SYMBOL = np.zeros(256, dtype=np.uint32)
@@ -52,6 +60,7 @@ class Model:
     weights: np.ndarray  # (features, bits)
     bias: np.ndarray
     trust: np.ndarray  # (languages, bits), rows sum to 1
+    limit: float  # distance beyond which a text is of no known language
     margin: float = 0.1
 
 
@@ -110,6 +119,11 @@ def fit(langs: list[str], x: np.ndarray, steps: int = 150, decay: float = 1e-3)
     # each language weighs the same, whatever its share of the sample
     share = np.bincount(np.searchsorted(names, langs), minlength=len(names))
     row = (1.0 / (len(names) * share[np.searchsorted(names, langs)])).astype(np.float32)[:, None]
+    # every fifth row of a language with ten or more only tells how far bits can be trusted
+    at = np.searchsorted(names, langs)
+    place = np.array([(at[:k] == at[k]).sum() for k in range(len(at))])
+    test = (place % 5 == 4) & (share[at] >= 10)
+    row[test] = 0.0
     scale = 1.0 / np.sqrt(x.mean(axis=0) + 1e-5)
     z = x
     z *= scale  # in place: the sample is the largest thing here
@@ -130,9 +144,13 @@ def fit(langs: list[str], x: np.ndarray, steps: int = 150, decay: float = 1e-3)
         pw, pb = w, b
         w = qw - np.float32(rate) * (z.T @ g + np.float32(decay) * qw)
         b = qb - np.float32(rate) * g.sum(axis=0)
-    right = (np.sign(z @ w + b) == y).astype(np.float64)
-    trust = np.stack([right[[n == m for n in langs]].mean(axis=0) for m in names]) + 1e-6
-    return Model(names, codes, (w * scale[:, None]).astype(np.float32), b.astype(np.float64), trust / trust.sum(axis=1, keepdims=True))
+    value = z @ w + b
+    right = (np.sign(value) == y).astype(np.float64)
+    trust = np.stack([right[(at == k) & (test | (share[k] < 10))].mean(axis=0) for k in range(len(names))]) + 1e-6
+    trust /= trust.sum(axis=1, keepdims=True)
+    far = (np.logaddexp(0.0, -value * y) * trust[at]).sum(axis=1)
+    reach = min(far[test].max() if test.any() else 0.0, np.log(2.0))
+    return Model(names, codes, (w * scale[:, None]).astype(np.float32), b.astype(np.float64), trust, float(reach + np.log(2.0)) / 2)
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +197,8 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
-def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, ambiguity and distance (NaN without a letter) of each text."""
     data, off = utf8(column)
     n, features, bits = len(column), len(model.weights), model.codes.shape[1]
     value = np.zeros((n, bits))
@@ -195,35 +214,43 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.n
                     count = np.bincount(code[: (1 << 20)], minlength=features)
                     value[lo] += count @ model.weights / len(part)
             continue
-        for order, code in gram_codes(part, features):
-            # an n-gram belongs to the text it ends in full
-            last = np.maximum(start[1:] - order + 1, start[:-1])
-            for b in range(bits):
-                total = np.concatenate([[0.0], np.cumsum(model.weights[code, b], dtype=np.float64)])
-                value[lo:hi, b] += (total[np.minimum(last, len(code))] - total[np.minimum(start[:-1], len(code))]) / np.maximum(size, 1)
+        # counts of 64 texts at a time, then one product with all bits' weights
+        for top in range(0, hi - lo, 64):
+            some = min(top + 64, hi - lo)
+            own = part[start[top] : start[some]]
+            text = np.repeat(np.arange(some - top), size[top:some])
+            count = np.zeros((some - top) * features)
+            for order, code in gram_codes(own, features):
+                inside = text[: len(code)] == text[order - 1 :]  # an n-gram lies in one text
+                count += np.bincount(text[: len(code)][inside] * features + code[inside], minlength=len(count))
+            value[lo + top : lo + some] = (count.reshape(-1, features).astype(np.float32) @ model.weights) / np.maximum(size[top:some, None], 1)
     value += model.bias
     loss = np.logaddexp(0.0, -value[:, None, :] * model.codes[None, :, :])
-    distance = (loss * model.trust[None, :, :]).sum(axis=2) * bits
-    p = np.exp(distance.min(axis=1, keepdims=True) - distance)
+    distance = (loss * model.trust[None, :, :]).sum(axis=2)
+    p = np.exp(bits * (distance.min(axis=1, keepdims=True) - distance))
     p /= p.sum(axis=1, keepdims=True)
     best = p.argmax(axis=1)
     score = p[np.arange(n), best] if n else np.zeros(0)
     second = np.sort(p, axis=1)[:, -2] if p.shape[1] > 1 else np.zeros(n)
     names = [model.languages[k] for k in best]
     ambiguous = (score - second) < model.margin
+    least = distance[np.arange(n), best] if n else np.zeros(0)
     for k in np.flatnonzero(~letters).tolist():
         if not has_letter(column[k].as_py()):
-            names[k], score[k], ambiguous[k] = "und", 0.0, False
-    return names, score, ambiguous
+            names[k], score[k], ambiguous[k], least[k] = "und", 0.0, False, np.nan
+    return names, score, ambiguous, least
 
 
 def _judge(texts: pa.Array, shared) -> list[pa.Array]:
     model = shared.value
     if model is None:
         n = len(texts)
-        return [pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array(np.zeros(n, dtype=bool))]
-    names, score, ambiguous = predict(model, texts)
-    return [pa.array(names, pa.string()), pa.array(score), pa.array(ambiguous)]
+        some = [has_letter(t) for t in texts.to_pylist()]
+        far = pa.array([0.0 if x else None for x in some], pa.float64())
+        return [pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array(np.zeros(n, dtype=bool)), far, pa.array(some, pa.bool_())]
+    names, score, ambiguous, distance = predict(model, texts)
+    known = (distance <= model.limit) & ~ambiguous  # NaN is not
+    return [pa.array(names, pa.string()), pa.array(score), pa.array(ambiguous), pa.array(distance, pa.float64(), from_pandas=True), pa.array(known)]
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
@@ -233,5 +260,5 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
 
 
 def accepted() -> Column:
-    """A document with a language; ambiguity alone rejects nothing."""
-    return F.col("lang_pred") != "und"
+    """Near enough to one codeword, and clearly nearer than to the others."""
+    return F.col("known")
