@@ -5,9 +5,10 @@ predecessor kept; its result is written and reread as the next one's ``docs``.
 All stages but the last return the columns of ``documents``.
 
 * toxicity: documents that the severity model holds for toxic go.
-* language: documents without a language (no letter at all) go.
+* language: documents that are far from every language's codeword, or about as
+  near to two of them, go, and so do those without a letter.
 * neardup: one document of each group of near-duplicates stays.
-* decontaminate: documents of which benchmark windows cover 5 % or more go.
+* decontaminate: documents that hold any benchmark window go.
 * pack: what is left is tokenised and packed into sequences of 1024.
 
 An empty table passes through every stage and packs to no pieces.
