@@ -3,21 +3,30 @@
 1. One pass over whole texts gives every row its shingle-set size, a 128-bit
    key of the set (rows with equal sets form one class) and, once per class and
    batch, a MinHash signature.
-2. Classes that share a signature band are candidates.  Buckets are never
-   expanded into pairs of rows: two rounds of least-label exchange gather
-   classes into label groups, groups are cut into blocks of bounded size, and a
-   bucket only states which pairs of *blocks* must be compared.
-3. For a pair of blocks, candidates (pairs sharing a band) are compared in
-   batches of signature positions.  After each batch a pair is dropped when the
-   posterior probability that its similarity reaches the threshold is below
-   ``miss``.  Survivors are verified on their full sets, best estimate first,
-   unless their documents are already connected; so a block pair yields at most
-   a spanning forest of exactly verified links.
-4. Components of the forests are found with alternating star contraction.
-
-Shingles are identified by 64-bit hashes.  Work on one hot group is spread over
-its block pairs; no task holds more than two blocks, no driver holds anything
-that grows with the data.
+2. Classes that share a signature band are candidates.  Every class is first
+   compared with one representative, the least class that it shares a bucket
+   with; a family of near copies is mostly connected by these, with work in
+   proportion to its size.
+3. What a bucket still holds of different components is compared in blocks: label exchange gathers classes into groups, groups are
+   cut into blocks of bounded rows and shingles, and a bucket only states which
+   pairs of *blocks* must be compared.  A large component has blocks of its own,
+   which are never compared with each other.
+4. Candidates (pairs sharing a band) are compared in batches of signature
+   positions.  After each batch a pair is dropped when the posterior probability
+   that its similarity reaches the threshold is below a bound, chosen so that a
+   pair at the threshold is lost with probability ``miss`` at most over all
+   batches.  Survivors are verified on their full sets; of a pair of blocks, best
+   estimate first, unless they are already connected.
+5. Components of the links are found with alternating star contraction.
+
+Shingles are identified by 64-bit hashes.  Joins on buckets, representatives,
+labels and components deal hot keys over salts; no task holds more than two
+blocks, no driver holds anything that grows with the data.
+
+Recall: a pair at the threshold is missed by the bands with probability 5e-5 and
+by pruning with ``miss``; the larger the similarity, the less.  ``EXACT`` has one
+position a band and no pruning, so that every pair with a realistic chance of a
+link (all but 0.15 ** 64) is verified, at the price of many more candidates.
 
 Defined cases: null, empty and blank texts have an empty set, link to nothing
 and are their own component; a text of fewer words than a shingle has one
@@ -38,7 +47,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from .scratch import forget, stage
+from .spread import spread_join
 from .wordhash import SPACE_SEP, mix, release, shingle_sets, slices, utf8, words
 
 _NO_ID = (1 << 63) - 1
@@ -57,14 +67,24 @@ class Settings:
     bands: int = 21
     rows: int = 6
     bands_per_batch: int = 7
-    miss: float = 1e-3
-    block: int = 384
-    broadcast_ids: int = 1_000_000
+    miss: float = 1e-4  # most probability that pruning loses a pair at the threshold; 0 prunes nothing
+    block: int = 384  # classes in a block
+    block_shingles: int = 1 << 20  # shingles in a block, 8 bytes each
+    broadcast_ids: int = 262_144  # rows of one or two keys, about 40 bytes each in a broadcast
 
     @property
     def positions(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def batches(self) -> list[int]:
+        """Positions seen after each batch."""
+        step = self.bands_per_batch * self.rows
+        return [min(k, self.positions) for k in range(step, self.positions + step, step)]
+
+
+EXACT = Settings(bands=64, rows=1, bands_per_batch=64, miss=0.0)
+
 
 @lru_cache(maxsize=4)
 def _family(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,37 +117,50 @@ def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(*words(data[a:b], offsets[lo : hi + 1] - a, SPACE_SEP), width)
 
 
+def buckets(sig: np.ndarray, s: Settings) -> np.ndarray:
+    """One 64-bit number for each band of a signature."""
+    band = sig.reshape(s.bands, s.rows).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        out = np.arange(1, s.bands + 1, dtype=np.uint64)
+        for j in range(s.rows):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + band[:, j])
+    return out.view(np.int64)
+
+
 def _profiles(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        size, keys, sigs, seen = [], [], [], set()
+        size, keys, bands, seen = [], [], [], set()
         for shingles in _sets(batch["text"], s.width):
             key = set_key(shingles) if len(shingles) else None
             size.append(len(shingles))
             keys.append(key)
-            sigs.append(None if key is None or key in seen else signature(shingles, s.positions).tobytes())
+            bands.append(None if key is None or key in seen else buckets(signature(shingles, s.positions), s))
             seen.add(key)
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
-            names=["doc_id", "n_shingles", "class", "signature"],
+            [batch["doc_id"], pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            names=["doc_id", "n_shingles", "class", "bands"],
         )
-        del batch, keys, sigs
+        del batch, keys, bands
         release()
 
 
 def profiles(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(partial(_profiles, s=s), "doc_id long, n_shingles long, class binary, signature binary")
+    return rows.mapInArrow(partial(_profiles, s=s), "doc_id long, n_shingles long, class binary, bands array<long>")
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, sets = [], []
+        keys, size, sigs, sets = [], [], [], []
         for shingles in _sets(batch["text"], s.width):
             if len(shingles):
                 keys.append(set_key(shingles))
+                size.append(len(shingles))
+                sigs.append(signature(shingles, s.positions).tobytes())
                 sets.append(shingles.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["class", "shingles"])
-        del batch, keys, sets
+        columns = [pa.array(keys, pa.binary()), pa.array(size, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["class", "n_shingles", "signature", "shingles"])
+        del batch, keys, sigs, sets, columns
         release()
 
 
@@ -150,6 +183,33 @@ def least_matches(n: int, percent: int, miss: float) -> int:
     return n
 
 
+def lost(s: Settings, least: tuple[int, ...], similarity: float) -> float:
+    """Probability that a pair of this similarity falls under a bound."""
+    from math import comb
+
+    alive, seen = np.ones(1), 0
+    for to, m in zip(s.batches, least, strict=True):
+        n = to - seen
+        step = np.array([comb(n, k) * similarity**k * (1 - similarity) ** (n - k) for k in range(n + 1)])
+        alive, seen = np.convolve(alive, step), to
+        alive[:m] = 0.0
+    return float(1 - alive.sum())
+
+
+@lru_cache(maxsize=8)
+def pruning(s: Settings) -> tuple[int, ...]:
+    """Fewest equal positions after each batch: the tightest posterior bound of
+    which a pair at the threshold is lost with probability ``miss`` at most."""
+    if s.miss <= 0:
+        return (0,) * len(s.batches)
+    bound = s.miss
+    while True:
+        least = tuple(least_matches(n, s.percent, bound) for n in s.batches)
+        if lost(s, least, s.percent / 100) <= s.miss:
+            return least
+        bound /= 2
+
+
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -176,11 +236,13 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _links(part: pd.DataFrame, s: Settings) -> pd.DataFrame:
-    """Verified links of one pair of blocks, as a spanning forest."""
+    """Verified links of one pair of blocks between components that are not
+    connected yet, as a spanning forest."""
     part = part.sort_values(["side", "class"], kind="stable").drop_duplicates("class").reset_index(drop=True)
     sig = np.stack([np.frombuffer(x, dtype=np.uint32) for x in part["signature"]])
     sets = [np.frombuffer(x, dtype=np.uint64) for x in part["shingles"]]
     size = part["n_shingles"].to_numpy()
+    root = part["root"].factorize()[0]
     side = part["side"].to_numpy()
     two = side.min() != side.max()
     left = np.flatnonzero(side == side.min())
@@ -196,96 +258,177 @@ def _links(part: pd.DataFrame, s: Settings) -> pd.DataFrame:
             banded |= hit
         if not two:
             banded &= right[None, :] > rows[:, None]
+        banded &= root[rows][:, None] != root[right][None, :]
         # a size ratio under the threshold rules a link out, exactly
         small, large = np.minimum(size[rows][:, None], size[right][None, :]), np.maximum(size[rows][:, None], size[right][None, :])
         banded &= 100 * small >= s.percent * large
         i, j = np.nonzero(banded)
         i, j = rows[i], right[j]
-        matches = np.zeros(len(i), dtype=np.int64)
-        step, seen = s.bands_per_batch * s.rows, 0
-        while seen < s.positions and len(i):
-            to = min(seen + step, s.positions)
+        matches, seen = np.zeros(len(i), dtype=np.int64), 0
+        for to, least in zip(s.batches, pruning(s), strict=True):
             matches += (sig[i, seen:to] == sig[j, seen:to]).sum(axis=1)
-            seen = to
-            live = matches >= least_matches(seen, s.percent, s.miss)
-            i, j, matches = i[live], j[live], matches[live]
+            live = matches >= least
+            i, j, matches, seen = i[live], j[live], matches[live], to
         found.append(np.stack([i, j, matches]))
     pairs = np.concatenate(found, axis=1)
     pairs = pairs[:, np.lexsort((pairs[1], pairs[0], -pairs[2]))]
     forest, a, b = _Forest(len(part)), [], []
     for i, j in pairs[:2].T.tolist():
-        if forest.find(i) == forest.find(j):
+        if forest.find(int(root[i])) == forest.find(int(root[j])):
             continue
-        both = common(sets[i], sets[j])
-        if 100 * both >= s.percent * (int(size[i]) + int(size[j]) - both):
-            forest.join(i, j)
-            a.append(part["class"][i])
-            b.append(part["class"][j])
+        if linked(sets[i], sets[j], s):
+            forest.join(int(root[i]), int(root[j]))
+            a.append(part["root"][i])
+            b.append(part["root"][j])
     return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
 
 
+def linked(a: np.ndarray, b: np.ndarray, s: Settings) -> bool:
+    both = common(a, b)
+    return 100 * both >= s.percent * (len(a) + len(b) - both)
+
+
+def _star(part: pd.DataFrame, s: Settings) -> pd.DataFrame:
+    """Verified links of some classes with their one representative (``side`` 1)."""
+    head, rest = part[part["side"] == 1].iloc[0], part[part["side"] == 0].drop_duplicates("class")
+    mine = np.frombuffer(head["signature"], dtype=np.uint32)
+    sig = np.stack([np.frombuffer(x, dtype=np.uint32) for x in rest["signature"]])
+    at, matches, seen = np.arange(len(rest)), np.zeros(len(rest), dtype=np.int64), 0
+    for to, least in zip(s.batches, pruning(s), strict=True):
+        matches += (sig[at, seen:to] == mine[seen:to]).sum(axis=1)
+        live = matches >= least
+        at, matches, seen = at[live], matches[live], to
+    own = np.frombuffer(head["shingles"], dtype=np.uint64)
+    names, sets = rest["class"].tolist(), rest["shingles"].tolist()
+    found = [names[k] for k in at.tolist() if linked(np.frombuffer(sets[k], dtype=np.uint64), own, s)]
+    return pd.DataFrame({"a": pd.Series(found, dtype=object), "b": pd.Series([head["class"]] * len(found), dtype=object)})
+
+
 def classes(rows: DataFrame) -> DataFrame:
-    """One row per distinct set: its least id, size and signature."""
+    """One row per distinct set: its least id, rows, size and buckets."""
     return (
         rows.where(F.col("class").isNotNull())
         .groupBy("class")
-        .agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("least"), F.first("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
+        .agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("least"), F.count(F.lit(1)).alias("n_rows"), F.max("n_shingles").alias("n_shingles"), F.max("bands").alias("bands"))
     )
 
 
-def _labelled(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(bucket, class) rows of buckets with two or more classes; (class, label)."""
-    width = 4 * s.rows
-    bands = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(s.bands)])
-    banded = nodes.select("class", F.explode(bands).alias("bucket"))
+def _join(many: DataFrame, one: DataFrame, key: str, s: Settings, how: str = "inner", counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
+    """``one``, a written table, is broadcast while it has few rows; else hot keys of ``many`` are dealt over salts."""
+    if one.count() <= s.broadcast_ids:
+        return many.join(F.broadcast(one), key, how)
+    return spread_join(many, one, key, how, counts, total)
+
+
+def _members(nodes: DataFrame, s: Settings) -> DataFrame:
+    """(bucket, class, n_shingles) rows of buckets with two or more classes."""
+    banded = nodes.select("class", "n_shingles", F.explode("bands").alias("bucket"))
     # most buckets hold one class: count them by their numbers alone, and only
     # then bring in the classes of the others
-    shared = stage(banded.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
+    shared = stage(banded.groupBy("bucket").count().where("count > 1"), "shared")
     if shared.count() <= s.broadcast_ids:
-        shared = F.broadcast(shared)
-    member = stage(banded.join(shared, "bucket"), "members")
-    best = member.groupBy("bucket").agg(F.min("class").alias("label"))
-    for k in range(3):
-        if k:
-            best = member.join(label, "class").groupBy("bucket").agg(F.min("label").alias("label"))
-        label = stage(member.join(best, "bucket").groupBy("class").agg(F.min("label").alias("label")), "labels")
-    return member.select("bucket", "class"), label
+        member = banded.join(F.broadcast(shared.select("bucket")), "bucket")
+    else:
+        member = spread_join(banded, shared.select("bucket"), "bucket", counts=shared, total=nodes.count() * s.bands)
+    member = stage(member.select("bucket", "class", "n_shingles"), "members")
+    forget(shared)
+    return member
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, member: DataFrame, s: Settings) -> DataFrame:
+    """(class, n_shingles, signature, shingles) of the members' classes, each
+    once.  Texts are read again; ids select them, by a broadcast while these are few."""
+    wanted = stage(member.select("class").distinct(), "wanted")
+    ids = stage(_join(nodes.select("class", "least"), wanted, "class", s, "left_semi").select(F.col("least").alias("row_id")).distinct(), "wanted_ids")
+    few = ids.count() <= s.broadcast_ids
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("row_id"), "text").join(F.broadcast(ids) if few else ids, "row_id", "left_semi")
+    full = stage(texts.select("text").mapInArrow(partial(_set_rows, s=s), "class binary, n_shingles long, signature binary, shingles binary"), "sets")
+    # an id may stand for several rows, and for classes that nobody wants
+    if full.count() != wanted.count():
+        once = full.groupBy("class").agg(*[F.first(c).alias(c) for c in full.columns[1:]])
+        once = stage(_join(once, wanted, "class", s, "left_semi"), "sets")
+        forget(full)
+        full = once
+    forget(wanted, ids)
+    return full
+
+
+def _dealt(rows: DataFrame, key: str, s: Settings) -> DataFrame:
+    """Adds ``salt``: the rows of a key (class, n_shingles) in parts of bounded size."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("count"), F.sum("n_shingles").alias("total"))
+    parts = F.ceil(F.greatest(F.col("count") / s.block, F.col("total") / s.block_shingles))
+    sizes = stage(sizes.withColumn("parts", parts).where("parts > 1"), "sizes")
+    joined = _join(rows, sizes.select(key, "parts"), key, s, "left", sizes, rows.count())
+    return joined.withColumn("salt", F.pmod(F.xxhash64("class"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+
+
+def _star_links(member: DataFrame, full: DataFrame, s: Settings) -> DataFrame:
+    """Verified links (a, b) of classes with the least class of their buckets, b < a."""
+    one = F.struct("class", "n_shingles")
+    ends = stage(member.groupBy("bucket").agg(F.min(one).alias("low"), F.count(F.lit(1)).alias("count")), "ends")
+    met = _join(member, ends.select("bucket", "low"), "bucket", s, counts=ends, total=member.count())
+    pairs = met.groupBy("class", "n_shingles").agg(F.min("low").alias("low")).where(F.col("class") != F.col("low.class"))
+    a, b = F.col("n_shingles"), F.col("low.n_shingles")
+    pairs = pairs.where(100 * F.least(a, b) >= s.percent * F.greatest(a, b)).select("class", "n_shingles", F.col("low.class").alias("rep"))
+    pairs = stage(_dealt(stage(pairs, "stars"), "rep", s).select("class", "rep", "salt"), "dealt_stars")
+    wanted = pairs.withColumn("side", F.lit(0)).union(pairs.select("rep", "rep", "salt").distinct().withColumn("side", F.lit(1)))
+    wanted = stage(wanted, "star_rows")
+    work = spread_join(wanted, full.drop("n_shingles"), "class")
+    found = stage(work.groupBy("rep", "salt").applyInPandas(lambda part: _star(part, s), "a binary, b binary"), "star_links")
+    forget(ends, pairs, wanted)
+    return found
+
+
+def _block_links(member: DataFrame, full: DataFrame, stars: DataFrame, s: Settings) -> DataFrame:
+    """Verified links (a, b) between what buckets hold besides the stars: a
+    class's ``root`` is its representative's representative."""
+    second = stars.select(F.col("a").alias("b"), F.col("b").alias("upper"))
+    root = stage(stars.join(second, "b", "left").select(F.col("a").alias("class"), F.coalesce("upper", "b").alias("root")), "star_roots")
+    tagged = _join(member, root, "class", s, "left").withColumn("root", F.coalesce("root", "class"))
+    tagged = stage(tagged, "tagged")
+    ends = tagged.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("count"))
+    ends = stage(ends.where("low <> high"), "open")
+    left = _join(tagged, ends.select("bucket", "low"), "bucket", s, counts=ends, total=tagged.count())
+    left = stage(left.select("bucket", "class", "n_shingles", "root", "low"), "open_members")
+    forget(root, tagged)
+
+    # two rounds of label exchange between stars and buckets
+    label = stage(left.groupBy("root").agg(F.min("low").alias("label"), F.count(F.lit(1)).alias("count")), "labels")
+    lower = _join(left.select("bucket", "root"), label.select("root", "label"), "root", s, counts=label, total=left.count())
+    lower = stage(lower.groupBy("bucket").agg(F.min("label").alias("lower")), "lower")
+    wide = _join(left.select("bucket", "class", "n_shingles", "root"), lower, "bucket", s, counts=ends, total=left.count())
+    wide = stage(wide.groupBy("class", "n_shingles", "root").agg(F.min("lower").alias("lower")), "open_classes")
+    label2 = stage(wide.groupBy("root").agg(F.min("lower").alias("label"), F.count(F.lit(1)).alias("count")), "labels")
+    grouped = _join(wide.drop("lower"), label2, "root", s, counts=label2, total=wide.count())
+    # a star of more than a block has blocks of its own
+    large = F.when(F.col("count") > s.block, F.col("root"))
+    kin = F.struct(large.isNotNull().alias("alone"), F.coalesce(large, "label").alias("name")).alias("kin")
+    grouped = stage(grouped.select("class", "root", "n_shingles", large.alias("large"), kin), "grouped")
+    block = F.xxhash64("kin.alone", "kin.name", "salt").alias("block")
+    block = stage(_dealt(grouped, "kin", s).select("class", "root", "large", block), "blocks")
+
+    touched = stage(_join(left.select("bucket", "class"), block, "class", s).select("bucket", "block", "large").distinct(), "touched")
+    right = touched.select("bucket", F.col("block").alias("right"), F.col("large").alias("right_large"))
+    pair = spread_join(touched, right, "bucket").where("block <= right and coalesce(large <> right_large, true)").select(F.col("block").alias("left"), "right")
+    sides = stage(pair.distinct().select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block")), "sides")
+    own = stage(block.select("block", "class", "root").join(full, "class"), "block_sets")
+    work = spread_join(sides, own, "block").withColumn("side", (F.col("block") == F.col("right")).cast("int")).drop("block")
+    found = stage(work.groupBy("left", "right").applyInPandas(lambda part: _links(part, s), "a binary, b binary"), "block_links")
+    forget(ends, left, label, lower, wide, label2, grouped, block, touched, sides, own)
+    return found
 
 
 def links(docs: DataFrame, nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Verified links (a, b) between classes: for each pair of blocks a forest."""
-    member, label = _labelled(nodes, s)
-    sizes = label.groupBy("label").count().withColumn("n_blocks", F.ceil(F.col("count") / s.block)).select("label", "n_blocks")
-    block = label.join(sizes, "label").select(
-        "class", F.xxhash64("label", F.pmod(F.xxhash64("class"), F.col("n_blocks"))).alias("block")
-    )
-    block = stage(block, "blocks")
-    touched = member.join(block, "class").select("bucket", "block").distinct()
-    pair = (
-        touched.withColumnRenamed("block", "left")
-        .join(touched.withColumnRenamed("block", "right"), "bucket")
-        .where("left <= right")
-        .select("left", "right")
-        .distinct()
-    )
-    pair = stage(pair, "block_pairs")
-
-    wanted = block.join(nodes, "class").select("class", "block", "least", "n_shingles", "signature")
-    wanted = stage(wanted, "wanted")
-    ids = wanted.select(F.col("least").alias("row_id")).distinct()
-    if wanted.count() <= s.broadcast_ids:  # 16 bytes each
-        ids = F.broadcast(ids)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("row_id"), "text").join(ids, "row_id", "left_semi")
-    sets = texts.select("text").mapInArrow(partial(_set_rows, s=s), "class binary, shingles binary")
-    sets = sets.groupBy("class").agg(F.first("shingles").alias("shingles"))
-    full = stage(wanted.drop("least").join(sets, "class"), "sets")
+    """Verified links (a, b) that connect what belongs together."""
+    member = _members(nodes, s)
+    full = _sets_of(docs, nodes, member, s)
+    stars = _star_links(member, full, s)
+    more = _block_links(member, full, stars, s)
+    forget(member, full)
+    return stars.union(more)
 
-    sides = pair.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
-    work = sides.join(full, "block").withColumn("side", (F.col("block") == F.col("right")).cast("int")).drop("block")
-    return work.groupBy("left", "right").applyInPandas(lambda part: _links(part, s), "a binary, b binary")
 
-
-def connect(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connect(edges: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(node, root) of all nodes of ``edges`` (a, b), roots included; a root is
     its component's least node.  Alternating large-star and small-star steps
     make every component a star in O(log^2 n) rounds."""
@@ -293,28 +436,23 @@ def connect(edges: DataFrame, rounds: int = 40) -> DataFrame:
     def directed(e: DataFrame) -> DataFrame:
         return stage(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
 
-    def state(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def settled(e: DataFrame) -> bool:
+        """Every node has one neighbour below it, which has none itself."""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+        seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return seen.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
     e = directed(edges)
-    last = state(e)
-    for _ in range(rounds):
-        if not last[0]:
-            break
+    while not settled(e):
         both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = directed(large)
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        near = e.join(least, "a")
-        small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        e = directed(small)
-        now = state(e)
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError("components did not settle")
+        least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("count")), "least")
+        met = _join(both, least.select("a", "m"), "a", s, counts=least)
+        large = directed(met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        forget(e, least)
+        least = stage(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("count")), "least")
+        near = _join(large, least.select("a", "m"), "a", s, counts=least)
+        e = directed(near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))))
+        forget(large, least)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
 
 
@@ -322,17 +460,23 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     rows = stage(profiles(docs, s), "profiles")
     nodes = stage(classes(rows), "classes")
-    root = connect(links(docs, nodes, s))
-    named = nodes.select("class", "least").join(root.withColumnRenamed("node", "class"), "class", "left")
-    named = named.select("class", F.coalesce("root", "class").alias("root"), "least")
-    lowest = named.groupBy("root").agg(F.min("least").alias("lowest"))
-    named = named.select("class", "root").join(lowest, "root").select("class", "lowest")
-    # rows of a hot class are dealt over salts; a class has one row for each salt
-    salts = 16
-    left = rows.select("doc_id", "n_shingles", "class", F.pmod(F.xxhash64("doc_id", "class"), F.lit(salts)).alias("salt"))
-    right = named.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    out = left.join(right, ["class", "salt"], "left")
-    out = out.withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.expr(f"nullif(lowest, {_NO_ID})")))
+    root = stage(connect(links(docs, nodes, s), s).withColumnRenamed("node", "class"), "roots")
+    root = stage(_join(nodes.select("class", "least"), root, "class", s), "rooted")
+    lowest = stage(root.groupBy("root").agg(F.min("least").alias("lowest"), F.count(F.lit(1)).alias("count")), "lowest")
+    named = _join(root, lowest.select("root", "lowest"), "root", s, counts=lowest, total=root.count()).select("class", "lowest")
+    # rows of other classes with one row are their own component
+    own = nodes.where("n_rows > 1").select("class", "least", "n_rows").join(named, "class", "full_outer")
+    own = own.select("class", F.coalesce("lowest", "least").alias("lowest"), F.coalesce("n_rows", F.lit(1)).alias("count"))
+    own = stage(own, "named")
+    n = own.count()
+    thin = rows.select("doc_id", "n_shingles", "class")
+    if n <= s.broadcast_ids:
+        out = thin.join(F.broadcast(own.select("class", "lowest")), "class", "left")
+    else:
+        some = thin.where("class is not null")
+        out = spread_join(some, own.select("class", "lowest"), "class", "left", counts=own, total=some.count())
+        out = out.unionByName(thin.where("class is null").withColumn("lowest", F.lit(None).cast("long")))
+    out = out.withColumn("component_id", F.when(F.col("lowest").isNull(), F.col("doc_id")).otherwise(F.expr(f"nullif(lowest, {_NO_ID})")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage
-
 #: Rows of one key that a task may get, and how many keys may be dealt over
 #: salts.  The larger the table, the more rows a key must have for that, so the
 #: list of such keys, which is broadcast, never has more than MOST_HOT rows.
@@ -14,25 +12,27 @@ LEAST_ROWS = 1024
 MOST_HOT = 20_000
 
 
-def hot_keys(many: DataFrame, key: str) -> DataFrame | None:
-    """(key, salts) of the keys with so many rows that they are dealt over salts."""
-    total = many.count()
+def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame | None:
+    """(key, salts) of the keys with so many of ``total`` rows that they are
+    dealt over salts: at most ``MOST_HOT`` rows.  ``counts`` has (key, count)."""
     unit = max(LEAST_ROWS, -(-total // MOST_HOT))
     if total <= unit:
         return None
-    counts = many.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > unit)
-    hot = stage(counts.select(key, F.ceil(F.col("count") / unit).alias("salts")), "hot_keys")
-    return hot if hot.count() else None
+    hot = counts.where(F.col(key).isNotNull() & (F.col("count") > unit)).select(key, F.ceil(F.col("count") / unit).alias("salts"))
+    rows = hot.collect()
+    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """``many.join(one, key, how)`` for inner, left, left_semi and left_anti.
 
     Rows of ``many`` with a hot key are dealt over salts by a hash of the whole
     row; rows of ``one`` with that key are repeated for each salt.  ``many``
-    should be a written table, as it is counted first.
+    should be a written table, as its rows are counted unless ``counts`` (key,
+    count) and ``total`` are given.
     """
-    hot = hot_keys(many, key)
+    total = many.count() if total is None else total
+    hot = hot_keys(many.groupBy(key).count() if counts is None else counts, key, total)
     if hot is None:
         return many.join(one, key, how)
     hot = F.broadcast(hot)

@@ -77,8 +77,7 @@ def test_families_with_small_and_large_blocks(spark, block):
     shared = words(rng, 60)
     rows += [(len(rows) + k, " ".join(shared + words(rng, 60)), "x") for k in range(20)]
     rng.shuffle(rows)
-    assert run(spark, rows, block=block) == expect(rows)
-    assert run(spark, rows, block=block, broadcast_ids=0) == expect(rows)
+    assert run(spark, rows, block=block, broadcast_ids=0 if block == 5 else 1000) == expect(rows)
 
 
 def test_long_chain_becomes_one_component(spark):
@@ -100,6 +99,62 @@ def test_lower_threshold_settings(spark):
     assert run(spark, rows, settings) == expect(rows, 80)
 
 
+def test_recall_at_and_above_the_threshold(spark):
+    """Chance of losing one pair, from the bounds themselves, and a measured recall."""
+    for s in (neardup.Settings(), neardup.Settings(percent=80, bands=25, rows=5, bands_per_batch=5)):
+        t = s.percent / 100
+        least = neardup.pruning(s)
+        assert neardup.lost(s, least, t) <= s.miss and (1 - t**s.rows) ** s.bands <= 1e-4
+        losses = [neardup.lost(s, least, t + x) for x in (0.0, 0.02, 0.05, 0.1)]
+        assert losses == sorted(losses, reverse=True)
+        # looser by one step of the bound would lose more than allowed, or prunes no less
+        assert all(m > 0 for m in least)
+    assert neardup.pruning(neardup.EXACT) == (0,)
+    rng, rows = random.Random(11), []
+    for _ in range(150):  # pairs of 200 words; an edit removes five of about 196 shingles
+        base = words(rng, 200)
+        for text in (base, edited(rng, base, rng.choice((1, 2, 3, 4)))):
+            rows.append((len(rows), " ".join(text), "x"))
+    want = expect(rows)
+    got = run(spark, rows)
+    linked = lambda out: {r[0] for r in out if r[2] != r[0]}
+    assert len(linked(want)) > 60 and len(linked(got) & linked(want)) >= 0.99 * len(linked(want)) and linked(got) <= linked(want)
+    assert run(spark, rows, neardup.EXACT) == want
+
+
+def test_large_family_and_outsiders(spark):
+    """More copies than a block: representatives connect most, blocks the rest."""
+    rng, rows = random.Random(21), []
+    base = words(rng, 150)
+    for k in range(120):
+        rows.append((len(rows), " ".join(edited(rng, base, k % 4)), "x"))
+    far = edited(rng, base, 9)
+    for k in range(12):
+        rows.append((len(rows), " ".join(edited(rng, far, k % 3)), "x"))
+    rows.append((len(rows), " ".join(f"w{k}" for k in range(30_000)), "x"))  # a very long text and its near copy
+    rows.append((len(rows), " ".join(f"w{k}" for k in range(29_500)), "x"))
+    want = expect(rows)
+    for more in ({"block": 7, "broadcast_ids": 0}, {"block": 400, "block_shingles": 2000}):
+        assert run(spark, rows, **more) == want
+
+
+def test_joins_deal_hot_keys(spark, monkeypatch):
+    from lexweave.llm import spread
+
+    monkeypatch.setattr(spread, "LEAST_ROWS", 8)
+    many = spark.createDataFrame([(k if k < 10 else 99, k) for k in range(200)] + [(None, 1)], "key long, v long")
+    one = spark.createDataFrame([(99, "hot"), (3, "cold"), (3, "twice"), (500, "none")], "key long, w string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = sorted(map(str, spread.spread_join(many, one, "key", how).collect()))
+        assert got == sorted(map(str, many.join(one, "key", how).collect()))
+    rng, rows = random.Random(4), []
+    base = words(rng, 120)
+    for _ in range(60):
+        rows.append((len(rows), " ".join(edited(rng, base, rng.randrange(0, 6))), "x"))
+    rows += [(1000 + k, "the same words again and again", "x") for k in range(40)]
+    assert run(spark, rows, block=9, broadcast_ids=0) == expect(rows)
+
+
 def test_posterior_bound():
     scipy_like = neardup.least_matches
     rng = np.random.default_rng(0)
