@@ -69,3 +69,21 @@ def test_no_python_in_the_plan(spark):
     rows = [(1, 0, "user", "a", "x")]
     plan = chat.collapse(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_hot_turn_numbers_and_very_long_turns(spark, monkeypatch):
+    """All rows of a conversation without a number, or with one; a long text; many chunks."""
+    from lexweave.llm import spread
+
+    monkeypatch.setattr(spread, "LEAST_ROWS", 16)
+    rows = [(1, None, "user", f"t{k:03d}") for k in range(70)] + [(2, 5, "user", f"t{k:03d}") for k in range(70)]
+    rows += [(3, k, "user", f"t{k}") for k in range(300)] + [(4, k, "user", f"t{k}") for k in range(299)]
+    rows += [(5, 0, "user", "long " * 200_000), (6, -3, "user", "a"), (6, None, "user", "b"), (6, 1 << 40, None, None), (1, None, "user", "t000")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.collapse(frame, chunk=4).collect()
+    assert {r["conv_id"] for r in got} == {1, 3, 5, 6}  # 2 equals 1, 4 begins 3
+    by = {(r["conv_id"], r["position"]): r for r in got}
+    assert len(by) == len(got) == 70 + 300 + 1 + 3
+    assert all(by[1, k + 1]["rendered"].endswith(f"t{k:03d}<|im_end|>\n") and by[1, k + 1]["copies"] == 2 for k in range(70))
+    assert all(f"\nt{k}<" in by[3, k + 1]["rendered"] for k in range(300))
+    assert [by[6, k]["rendered"].split("\n")[1][:1] for k in (1, 2, 3)] == ["b", "a", "<"] and len(by[5, 1]["rendered"]) > 10**6
