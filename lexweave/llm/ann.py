@@ -1,19 +1,27 @@
 """Nearest neighbours in sharded robust-pruned graphs (operator 6).
 
 Vectors are dealt over shards of about ``shard_size`` by hash.  Each shard is a
-directed graph: greedy searches from the entry points propose neighbours of
+directed graph: greedy searches from the entry point propose neighbours of
 every vector, relaxed distance pruning (a candidate goes when a chosen
 neighbour is ``alpha`` times nearer to it than the vector is) keeps diverse
-edges, and reverse edges are added and pruned alike.  Queries, in blocks, are
-beam-searched in every shard; the best of each shard are rescored in double
-precision on the original vectors and merged.
+edges, and reverse edges are added and pruned alike.  Nodes that the entry does
+not reach are chained to the nearest reached one by a bridge edge each.
+
+Queries are beam-searched in every shard.  The whole beam is rescored in double
+precision on the original vectors.  If even its last members score like the
+``k``-th, the beam ends inside a cluster of practically equal directions; such a
+query is then scored against every vector of the shard.
+
+Distances are of unit vectors in double precision, from differences, so that
+clusters much narrower than single precision are still graphs with edges.
 
 Equal vectors share one graph node: at most ``k + 1`` of their ids, the
 smallest, can be among anyone's ``k`` nearest (ties go to smaller ids, a query
 skips only its own), so no more are kept; the limit is applied before the
 shuffle, so a vector that a third of all rows repeat is no hot key.
 
-All vectors are indexed.  A task holds one shard and one query block.
+All vectors are indexed; the index is a table with one row a node.  A search
+task holds one shard at a time, read once, while queries stream past it.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and rows without id, take no part; a row repeated in full counts
@@ -24,14 +32,17 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from .scratch import forget, stage
 
 
 @dataclass(frozen=True)
@@ -41,15 +52,15 @@ class Settings:
     build_beam: int = 64
     alpha: float = 1.2
     beam: int = 256
-    query_block: int = 512
     batch: int = 256
+    tie: float = 1e-12  # scores that are no further apart may be in any order
 
 
 @dataclass
 class Graph:
-    x: np.ndarray  # unit vectors, float32
-    edges: np.ndarray  # (n, degree), -1 where there is none
-    entry: np.ndarray  # entry points
+    x: np.ndarray  # unit vectors, double precision
+    edges: np.ndarray  # (n, degree + 1), -1 where there is none; the last is the bridge
+    entry: np.ndarray  # the entry point
 
 
 def beam_search(g: Graph, queries: np.ndarray, beam: int, expand: int = 4, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +73,7 @@ def beam_search(g: Graph, queries: np.ndarray, beam: int, expand: int = 4, live:
     seen = np.zeros((q, n + 1), dtype=bool)
     seen[:, n] = True  # where a missing edge points
     ids = np.full((q, beam), n)
-    dist = np.full((q, beam), np.inf, dtype=np.float32)
+    dist = np.full((q, beam), np.inf)
     done = np.ones((q, beam), dtype=bool)
     fresh = np.broadcast_to(g.entry, (q, len(g.entry)))
     while True:
@@ -73,8 +84,10 @@ def beam_search(g: Graph, queries: np.ndarray, beam: int, expand: int = 4, live:
         seen[rows, fresh] = True
         r, c = np.nonzero(new)
         v = fresh[r, c]
-        d = np.full(fresh.shape, np.inf, dtype=np.float32)
-        d[r, c] = 2.0 - 2.0 * np.einsum("ij,ij->i", g.x[v], queries[r])
+        d = np.full(fresh.shape, np.inf)
+        away = g.x[v]
+        away -= queries[r]
+        d[r, c] = np.einsum("ij,ij->i", away, away)
         ids = np.concatenate([ids, np.where(new, fresh, n)], axis=1)
         dist = np.concatenate([dist, d], axis=1)
         done = np.concatenate([done, ~new], axis=1)
@@ -95,14 +108,18 @@ def robust_prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, degree: in
     """Diverse out-edges of each point from its candidates (-1 pads)."""
     b, c = cand.shape
     ok = (cand >= 0) & (cand != points[:, None])
-    v = x[np.maximum(cand, 0)]
-    d = np.where(ok, 2.0 - 2.0 * np.einsum("bcd,bd->bc", v, x[points]), np.inf)
-    order = np.argsort(d, axis=1, kind="stable")
     rows = np.arange(b)[:, None]
+    cand = np.sort(np.where(ok, cand, len(x)), axis=1)
+    ok = cand < len(x)
+    ok[:, 1:] &= cand[:, 1:] != cand[:, :-1]
+    # seen from the point, so that nothing is lost when all are near
+    v = x[np.minimum(cand, len(x) - 1)] - x[points][:, None, :]
+    d = np.where(ok, np.einsum("bcd,bcd->bc", v, v), np.inf)
+    order = np.argsort(d, axis=1, kind="stable")
     cand, d, v = cand[rows, order], d[rows, order], v[rows, order]
     ok = np.isfinite(d)
-    ok[:, 1:] &= cand[:, 1:] != cand[:, :-1]
-    between = 2.0 - 2.0 * (v @ v.transpose(0, 2, 1))
+    own = np.einsum("bcd,bcd->bc", v, v)
+    between = np.maximum(own[:, :, None] + own[:, None, :] - 2.0 * (v @ v.transpose(0, 2, 1)), 0.0)
     out = np.full((b, degree), -1)
     flat = np.arange(b)
     for k in range(degree):
@@ -135,8 +152,8 @@ def build(x: np.ndarray, s: Settings = Settings()) -> Graph:
         _reverse(g, points, s)
         at += len(points)
         size = min(s.batch, max(1, at))
-    # whatever the entry cannot reach becomes an entry itself
-    g.entry = np.concatenate([start, _unreached(g, start)])
+    g.edges = np.concatenate([g.edges, np.full((n, 1), -1)], axis=1)
+    _bridge(g, s)
     return g
 
 
@@ -165,81 +182,130 @@ def _reverse(g: Graph, points: np.ndarray, s: Settings) -> None:
             g.edges[t[~r]] = robust_prune(g.x, t[~r], both[~r], s.degree, s.alpha)
 
 
-def _unreached(g: Graph, start: np.ndarray) -> np.ndarray:
+def _bridge(g: Graph, s: Settings) -> None:
+    """Chain what the entry does not reach to the nearest reached node: each
+    node has at most one bridge edge, so one round is enough."""
     reached = np.zeros(len(g.x) + 1, dtype=bool)
     reached[-1] = True
-    todo = start
-    more = []
-    while True:
+    todo = g.entry
+    reached[todo] = True
+    while len(todo):
+        todo = np.unique(g.edges[todo])
+        todo = todo[~reached[todo]]
         reached[todo] = True
-        while len(todo):
-            todo = np.unique(g.edges[todo])
-            todo = todo[~reached[todo]]
-            reached[todo] = True
-        left = np.flatnonzero(~reached)
-        if not len(left):
-            return np.array(more, dtype=np.int64)
-        more.append(int(left[0]))
-        todo = left[:1]
+    lost = np.flatnonzero(~reached[:-1])
+    if not len(lost):
+        return
+    near, far = np.empty(len(lost), dtype=np.int64), np.empty(len(lost))
+    for lo in range(0, len(lost), s.batch):
+        ids, dist = beam_search(g, g.x[lost[lo : lo + s.batch]], s.build_beam)
+        near[lo : lo + s.batch], far[lo : lo + s.batch] = ids[:, 0], dist[:, 0]
+    order = np.lexsort((lost, far, near))
+    node, near = lost[order], near[order]
+    first = np.concatenate([[True], near[1:] != near[:-1]])
+    g.edges[np.where(first, near, np.concatenate([[0], node[:-1]])), -1] = node
 
 
 def _index(part: pd.DataFrame, s: Settings) -> pd.DataFrame:
-    """One shard's rows (vec_ids, embedding) as one row of arrays."""
+    """One shard's rows (ids, embedding) with their edges, numbered."""
     part = part.sort_values("least").reset_index(drop=True)
     v = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-    unit = (v / np.sqrt((v * v).sum(axis=1, keepdims=True))).astype(np.float32)
-    g = build(np.ascontiguousarray(unit), s)
-    counts = np.array([len(i) for i in part["ids"]], dtype=np.int64)
+    g = build(_unit(v), s)
+    entry = np.arange(len(v)) == g.entry[0]
     return pd.DataFrame(
         {
-            "dim": [v.shape[1]],
-            "shard": [part["shard"][0]],
-            "n": [len(v)],
-            "ids": [np.concatenate([np.asarray(i, dtype=np.int64) for i in part["ids"]]).tobytes()],
-            "counts": [counts.tobytes()],
-            "vectors": [v.tobytes()],
-            "edges": [g.edges.astype(np.int32).tobytes()],
-            "entry": [g.entry.astype(np.int64).tobytes()],
+            "dim": v.shape[1], "shard": part["shard"], "node": np.arange(len(v)), "entry": entry, "ids": part["ids"],
+            "embedding": list(v), "edges": [row[row >= 0] for row in g.edges.astype(np.int32)],
         }
-    )
-
-
-_INDEX = "dim int, shard long, n long, ids binary, counts binary, vectors binary, edges binary, entry binary"
-
-
-def _block(part: pd.DataFrame) -> pd.DataFrame:
-    v = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-    return pd.DataFrame({"dim": [v.shape[1]], "block": [part["block"][0]], "q_ids": [part["vec_id"].to_numpy(dtype=np.int64).tobytes()], "q_vectors": [v.tobytes()]})
-
-
-def _search(part: pd.DataFrame, k: int, s: Settings) -> pd.DataFrame:
-    """A query block's ``k`` nearest in one shard."""
-    r = part.iloc[0]
-    v = np.frombuffer(r["vectors"]).reshape(r["n"], -1)
-    length = np.sqrt((v * v).sum(axis=1))
-    g = Graph((v / length[:, None]).astype(np.float32), np.frombuffer(r["edges"], dtype=np.int32).reshape(r["n"], -1), np.frombuffer(r["entry"], dtype=np.int64))
-    ids, counts = np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["counts"], dtype=np.int64)
-    first = np.cumsum(counts) - counts
-    q_ids = np.frombuffer(r["q_ids"], dtype=np.int64)
-    q = np.frombuffer(r["q_vectors"]).reshape(len(q_ids), -1)
-    q_length = np.sqrt((q * q).sum(axis=1))
-    out = []
-    for lo in range(0, len(q), s.batch):
-        mine = q[lo : lo + s.batch]
-        beam, _ = beam_search(g, (mine / q_length[lo : lo + s.batch, None]).astype(np.float32), max(s.beam, 4 * k))
-        beam = beam[:, : 4 * k + 4]
-        for j, row in enumerate(beam):
-            row = row[row >= 0]
-            score = (v[row] * mine[j]).sum(axis=1) / (length[row] * q_length[lo + j])
-            near = np.concatenate([np.arange(first[t], first[t] + counts[t]) for t in row])
-            near_score = np.repeat(score, counts[row])
-            near_id = ids[near]
-            own = near_id == q_ids[lo + j]
-            near_id, near_score = near_id[~own], near_score[~own]
-            best = np.lexsort((near_id, -near_score))[:k]
-            out.append((np.full(len(best), lo + j), near_id[best], near_score[best]))
-    at, found, score = (np.concatenate(c) for c in zip(*out, strict=True))
-    return pd.DataFrame({"query_id": q_ids[at], "query_row": (int(r["block"]) << 32) + at, "vec_id": found, "score": score})
+    )
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    # scaled first, so that no square overflows or vanishes
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return np.ascontiguousarray(v / np.sqrt((v * v).sum(axis=1, keepdims=True)))
+
+
+_INDEX = "dim int, shard long, node int, entry boolean, ids array<long>, embedding array<double>, edges array<int>"
+_FOUND = "query_id long, query_row long, vec_id long, score double"
+
+
+def _lists(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of a list column without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False), np.diff(column.offsets.to_numpy())
+
+
+class _Shard:
+    """One shard, put together from its rows, and the queries asked of it."""
+
+    def __init__(self, k: int, s: Settings):
+        self.k, self.s, self.parts, self.graph = k, s, [], None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        ids, n_ids = _lists(rows["ids"], np.int64)
+        vectors, n = _lists(rows["embedding"], np.float64)
+        edges, n_edges = _lists(rows["edges"], np.int32)
+        self.parts.append((rows["entry"].to_numpy(zero_copy_only=False), ids, n_ids, vectors.reshape(len(n), -1), edges, n_edges))
+
+    def ready(self) -> None:
+        if self.graph is None and self.parts:
+            entry, self.ids, self.counts, self.v, edges, n_edges = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+            self.parts = []
+            self.length = np.sqrt((self.v * self.v).sum(axis=1))
+            self.first = np.cumsum(self.counts) - self.counts
+            table = np.full((len(self.v), self.s.degree + 1), -1)
+            row = np.repeat(np.arange(len(self.v)), n_edges)
+            table[row, np.arange(len(edges)) - np.repeat(np.cumsum(n_edges) - n_edges, n_edges)] = edges
+            self.graph = Graph(_unit(self.v), table, np.flatnonzero(entry))
+
+    def best(self, q: np.ndarray, own_id: int, nodes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
+        """The ``k`` nearest ids and scores among some nodes, or all, and the last node's score."""
+        if nodes is None:
+            nodes = np.arange(len(self.v))
+        score = (self.v[nodes] * q).sum(axis=1) / (self.length[nodes] * np.sqrt((q * q).sum()))
+        count = self.counts[nodes]
+        at = np.repeat(self.first[nodes], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        near, value = self.ids[at], np.repeat(score, count)
+        other = near != own_id
+        near, value = near[other], value[other]
+        order = np.lexsort((near, -value))[: self.k]
+        return near[order], value[order], float(score.min()) if len(score) else -np.inf
+
+    def search(self, q_ids: np.ndarray, q_rows: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        out = []
+        width = min(max(self.s.beam, 4 * self.k), len(self.v))
+        for lo in range(0, len(q), self.s.batch):
+            mine = q[lo : lo + self.s.batch]
+            beam, _ = beam_search(self.graph, _unit(mine), width)
+            for j, row in enumerate(beam):
+                row = row[row >= 0]
+                ids, score, last = self.best(mine[j], q_ids[lo + j], row)
+                if len(row) < len(self.v) and (len(score) < self.k or last >= score[-1] - self.s.tie):
+                    ids, score, _ = self.best(mine[j], q_ids[lo + j], None)
+                out.append((np.full(len(ids), q_ids[lo + j]), np.full(len(ids), q_rows[lo + j]), ids, score))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "query_row", "vec_id", "score"])
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int, s: Settings) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (dim, shard, kind): a shard's nodes, then its queries."""
+    now, shard = None, None
+    for batch in batches:
+        key = np.stack([batch[c].to_numpy() for c in ("dim", "shard", "kind")], axis=1)
+        edge = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            if lo == hi:
+                continue
+            part, own = batch.slice(lo, hi - lo), tuple(key[lo, :2].tolist())
+            if own != now:
+                now, shard = own, _Shard(k, s)
+            if key[lo, 2] == 0:
+                shard.add(part)
+                continue
+            shard.ready()
+            if shard.graph is not None:
+                vectors, n = _lists(part["embedding"], np.float64)
+                yield shard.search(part["query_id"].to_numpy(), part["query_row"].to_numpy(), vectors.reshape(len(n), -1))
 
 
 def usable(vector: Column) -> Column:
@@ -248,14 +314,20 @@ def usable(vector: Column) -> Column:
 
 
 def index(vectors: DataFrame, k: int, s: Settings = Settings()) -> DataFrame:
-    """One row per shard; ``vectors`` has vec_id and embedding (doubles)."""
+    """One row per node; ``vectors`` has vec_id and embedding (doubles)."""
     order = Window.partitionBy("embedding").orderBy("vec_id")
     few = vectors.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
     nodes = few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.min("vec_id").alias("least"))
     nodes = stage(nodes.withColumn("dim", F.size("embedding")), "nodes")
-    shards = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / s.shard_size).alias("n_shards"))  # one row per vector length
-    dealt = nodes.join(F.broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("least"), F.col("n_shards")))
-    return stage(dealt.groupBy("dim", "shard").applyInPandas(lambda part: _index(part, s), _INDEX), "index")
+    dealt = nodes.join(_shards(nodes, s), "dim").withColumn("shard", F.pmod(F.xxhash64("least"), F.col("n_shards")))
+    made = stage(dealt.groupBy("dim", "shard").applyInPandas(lambda part: _index(part, s), _INDEX), "index")
+    forget(nodes)
+    return made
+
+
+def _shards(nodes: DataFrame, s: Settings) -> DataFrame:
+    """(dim, n_shards): one row for each vector length."""
+    return nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / s.shard_size).alias("n_shards"))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, s: Settings = Settings()) -> DataFrame:
@@ -266,14 +338,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, s: Settings = Set
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(
         F.col("vec_id").isNotNull() & usable(F.col("embedding"))
     )
-    shards = index(clean(vectors), k, s)
-    asked = clean(queries).distinct()
-    n_blocks = max(1, -(-asked.count() // s.query_block))
-    asked = asked.withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)), "dim": F.size("embedding")})
-    blocks = asked.groupBy("dim", "block").applyInPandas(_block, "dim int, block long, q_ids binary, q_vectors binary")
-    # one row for each block and shard; a task reads one at a time
-    pairs = blocks.join(shards.select("dim", "shard"), "dim").join(shards, ["dim", "shard"])
-    found = pairs.groupBy("dim", "shard", "block").applyInPandas(lambda part: _search(part, k, s), "query_id long, query_row long, vec_id long, score double")
+    nodes = index(clean(vectors), k, s)
+    sizes = stage(nodes.groupBy("dim").agg(F.max("shard").alias("last"), F.countDistinct("shard").alias("n")), "shards")
+    n_shards = sizes.agg(F.sum("n")).first()[0] or 1
+    row = F.xxhash64("vec_id", "embedding").alias("query_row")
+    asked = clean(queries).distinct().select(F.size("embedding").alias("dim"), F.col("vec_id").alias("query_id"), row, "embedding")
+    asked = asked.join(sizes, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    asked = asked.select("dim", "shard", F.lit(1).alias("kind"), "query_id", "query_row", "embedding")
+    rows = nodes.withColumn("kind", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    streams = rows.repartition(n_shards, "dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+    found = streams.mapInArrow(partial(_search, k=k, s=s), _FOUND)
     order = Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

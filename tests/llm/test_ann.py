@@ -65,6 +65,37 @@ def test_fewer_candidates_than_k_and_empty(spark):
     assert run(spark, [(0, [1.0], 0)]) == {}
 
 
+@pytest.mark.parametrize("shard_size", [8192, 700])
+def test_tight_clusters_and_parallel_vectors(spark, shard_size):
+    """A third practically equal, a third multiples of one vector, a third random:
+    the found ones score as well as those of brute force."""
+    rng = np.random.default_rng(4)
+    n, d = 1500, 64
+    center, line = rng.normal(size=d), rng.normal(size=d)
+    x = np.concatenate([rng.normal(size=(n // 3, d)), center + 1e-7 * rng.normal(size=(n // 3, d)), line * rng.uniform(0.1, 9, size=(n // 3, 1))])
+    x = x[rng.permutation(n)].astype(np.float32)
+    rows = [(k, v, 0) for k, v in enumerate(x.tolist())]
+    got, want = run(spark, rows, shard_size=shard_size), brute(rows, 5, lambda q: q % 50 == 0)
+    assert got.keys() == want.keys()
+    good = [[s >= w[-1][1] - 1e-14 for _, s in got[q]] for q, w in want.items()]
+    # scores of multiples differ in their last bits only, as does brute force from itself
+    assert all(len(g) == 5 for g in good) and np.mean(good) >= 0.99
+
+
+def test_near_ties_extra_columns_and_many_entries(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=8)
+    rows = [(k, (base * (1 + k % 3)).astype(np.float32).tolist(), 7) for k in range(40)] + [(100 + k, rng.normal(size=8).astype(np.float32).tolist(), 7) for k in range(200)]
+    frame = spark.createDataFrame(rows, SCHEMA).selectExpr("vec_id", "embedding", "label as rank", "label as shard", "'x' as score", "'y' as kind")
+    got = ann.search(frame, frame.where("vec_id % 50 = 0"), 5, ann.Settings(shard_size=64)).collect()
+    want = brute(rows, 5, lambda q: q % 50 == 0)
+    assert len(got) == sum(map(len, want.values()))
+    assert all(r["score"] >= want[r["query_id"]][-1][1] - 1e-14 for r in got)
+    cluster = np.concatenate([rng.normal(size=(400, 16)), base.repeat(2) + 1e-7 * rng.normal(size=(2000, 16))])
+    g = ann.build(ann._unit(cluster))
+    assert len(g.entry) == 1 and (g.edges[:, -1] >= 0).sum() <= 24  # hardly a bridge is needed
+
+
 def test_tables_recall(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"], 0) for r in frame.collect()]
@@ -76,6 +107,6 @@ def test_every_node_can_be_reached(n):
     x = np.random.default_rng(n).normal(size=(n, 8)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x[n // 2 :] = x[: n - n // 2] * 0.5 + x[n // 2 :] * 0.5 if n > 3 else x[n // 2 :]
-    g = ann.build(np.ascontiguousarray(x / np.linalg.norm(x, axis=1, keepdims=True)))
+    g = ann.build(ann._unit(x.astype(float)))
     ids, _ = ann.beam_search(g, g.x[:1], n)
     assert sorted(ids[0].tolist()) == list(range(n))
