@@ -1,12 +1,16 @@
 """Snippets and senses of long definitions.
 
-Cut points need match offsets, which no built-in gives, so these are pandas
-UDFs; short texts (the bulk of a dictionary) never reach Python.
+Senses under the standard markers are split by built-ins.  Cut points need match
+offsets, and a dictionary's own separator may be any Python pattern, with or
+without a group: these are pandas UDFs, which short texts (the bulk of a
+dictionary) never reach.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,66 +27,67 @@ FULL_STOP = r"(?<!\b[a-zA-Z])(?<!\bcf)(?<!\besp)(?<!\bv)\.\s+(?=[A-Z])"
 SENSE = r"(?:^|\s)(-?\d+[a-z]?)\.?\s+"
 ABBREVIATIONS = "m f n mfn cf esp pl sg du v vs viz ib id cl comp fut impf loc gen acc abl ins voc a b c d e e.g".split()
 # ----------------------------------------------------------------------------
-_TRIM = " ;.-"
+_EDGE = " ;.-"
+_SENSES = "array<struct<num: string, text: string>>"
+
+#: A full stop after an abbreviation ends no sentence, in whatever case, nor does
+#: one that follows it on a new line.
+_GUARD = "".join(rf"(?<!\b(?i:{re.escape(a)}){end})" for a in ABBREVIATIONS for end in ("", r"\n"))
+#: (pattern, whether a cut stands at its end or after its first character)
+_CUTS = [(re.compile(SEMICOLON), True), (re.compile(NUMBERED), False), (re.compile(_GUARD + FULL_STOP), True)]
+
+
+@lru_cache(maxsize=256)
+def _pattern(separator: str | None) -> re.Pattern | None:
+    """A dictionary's separator; one that is no pattern separates nothing."""
+    try:
+        return re.compile(separator) if separator else None
+    except re.error:
+        return None
 
 
 def boundaries(text: str, separator: str | None = None) -> list[int]:
     """Sorted offsets at which a cut reads well; the end is always one."""
-    ends = [m.end() for m in re.finditer(SEMICOLON, text)]
-    ends += [m.start() + 1 for m in re.finditer(NUMBERED, text)]
-    for m in re.finditer(FULL_STOP, text):
-        word = re.search(r"\b([a-zA-Z]+)$", text[max(0, m.start() - 40) : m.start()])
-        if not (word and word[1].lower() in ABBREVIATIONS):
-            ends.append(m.end())
-    if separator:
-        try:
-            ends += [m.end() for m in re.finditer(separator, text)]
-        except re.error:  # a separator that is no pattern splits nothing
-            pass
-    return sorted({*ends, len(text)})
+    own = _pattern(separator)
+    rules = _CUTS if own is None else [*_CUTS, (own, True)]
+    return sorted({len(text), *(m.end() if at_end else m.start() + 1 for rule, at_end in rules for m in rule.finditer(text))})
 
 
 def cut(text: str, at: list[int], target: int, limit: int) -> str:
-    """The text up to the best boundary within the limit: the nearest at or
-    after the target, else the latest before it, else a word's end and ``…``."""
+    """Text within the limit: up to the first boundary from the target on, or the
+    last one before it; without any, up to a word's end, and marked as cut."""
     if len(text) <= limit:
         return text.strip()
-    near = [b for b in at if b <= limit]
-    if near:
-        after = [b for b in near if b >= target]
-        # one at the very start leaves nothing, as the rule has it
-        return text[: min(after) if after else max(near)].rstrip(_TRIM).strip()
-    space = text.rfind(" ", 0, limit - 1)
-    head = text[:space].rstrip(_TRIM).strip() if space > 0 else text[: limit - 1].strip()
-    return (head + "…")[:limit]
+    k = bisect_left(at, target)
+    if k == len(at) or at[k] > limit:
+        k -= 1
+    if k >= 0:
+        return text[: at[k]].rstrip(_EDGE).strip()
+    body, space, _ = text[: limit - 1].rpartition(" ")
+    # a lone space at the very beginning is no end of a word
+    return (body.rstrip(_EDGE).strip() if space and body else text[: limit - 1].strip())[: limit - 1] + "…"
 
 
 def pair(text: str, separator: str | None = None) -> tuple[str, str]:
     text = text.strip()
-    if len(text) <= SHORT[1]:
-        return text, text
-    at = boundaries(text, separator)
+    at = boundaries(text, separator) if len(text) > SHORT[1] else []
     return cut(text, at, *SHORT), cut(text, at, *MEDIUM)
 
 
 def split_senses(text: str, separator: str | None = None) -> list[tuple[str, str]]:
     """(number, text) of each sense; none unless there are two markers.
 
-    Text before the first marker is sense 1.  A separator without a group
-    numbers by place, so that text and the first marker share the number 1.
+    Senses are the pieces between markers.  What comes before the first has
+    number 1; a marker without a number is numbered by its place, so the first of
+    them has number 1 as well.
     """
-    try:
-        marks = list(re.finditer(separator or SENSE, text))
-    except re.error:
-        return []
+    pattern = _pattern(separator or SENSE)
+    marks = list(pattern.finditer(text)) if pattern else []
     if len(marks) < 2:
         return []
-    found = [("1", text[: marks[0].start()].strip())]
-    edges = [m.start() for m in marks[1:]] + [len(text)]
-    for k, (m, end) in enumerate(zip(marks, edges, strict=True), 1):
-        number = (m[1] or "") if m.lastindex else str(k)
-        found.append((number.lstrip("-").strip(), text[m.end() : end].strip()))
-    return [x for x in found if x[1]]
+    numbers = ["1", *((m[1] or "").lstrip("-").strip() if m.lastindex else str(k) for k, m in enumerate(marks, 1))]
+    pieces = [text[a:b].strip() for a, b in zip([0, *(m.end() for m in marks)], [*(m.start() for m in marks), len(text)], strict=True)]
+    return [(n, piece) for n, piece in zip(numbers, pieces, strict=True) if piece]
 
 
 def snippets(text: Column, separator: Column | None = None) -> Column:
@@ -102,14 +107,23 @@ def snippets(text: Column, separator: Column | None = None) -> Column:
     return F.struct(F.coalesce(got["short"], whole).alias("short"), F.coalesce(got["medium"], whole).alias("medium"))
 
 
+def standard_senses(text: Column) -> Column:
+    """Senses under the standard markers, without Python."""
+    marker = "(?U)" + SENSE
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(marker), 1), lambda n: F.regexp_replace(n, "^-+", ""))
+    rows = F.zip_with(F.concat(F.array(F.lit("1")), numbers), F.split(text, marker, -1), lambda n, t: F.struct(n.alias("num"), strip(t).alias("text")))
+    found = F.when(F.size(numbers) >= 2, F.filter(rows, lambda x: x["text"] != ""))
+    return F.coalesce(found, F.array().cast(_SENSES))
+
+
 def senses(text: Column, separator: Column | None = None) -> Column:
-    """array<struct<num, text>>; texts without a digit or separator skip Python."""
+    """array<struct<num, text>>; only rows with a separator of their own meet Python."""
+    if separator is None:
+        return standard_senses(text)
 
-    @F.pandas_udf("array<struct<num: string, text: string>>")
+    @F.pandas_udf(_SENSES)
     def split(texts: pd.Series, seps: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else [{"num": a, "text": b} for a, b in split_senses(t, s)] for t, s in zip(texts, seps, strict=True)])
 
-    empty = F.array().cast("array<struct<num: string, text: string>>")
-    if separator is None:
-        return F.coalesce(split(F.when(text.rlike("[0-9]"), text), F.lit(None).cast("string")), empty)
-    return F.coalesce(split(F.when(separator.isNotNull() | text.rlike("[0-9]"), text), separator), empty)
+    own = separator.isNotNull() & (separator != "")
+    return F.when(own, F.coalesce(split(F.when(own, text), separator), F.array().cast(_SENSES))).otherwise(standard_senses(text))
