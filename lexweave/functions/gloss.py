@@ -54,6 +54,12 @@ def _weight(position: Column) -> Column:
     return F.when(position < NEAR, WEIGHT_NEAR).when(position < MID, WEIGHT_MID).otherwise(WEIGHT_FAR)
 
 
+def _place(text: Column, part: Column) -> Column:
+    """Where ``part`` begins, as far as that matters for its weight."""
+    at = F.instr(F.substring(text, F.lit(1), F.length(part) + MID), part) - 1
+    return F.when(at < 0, MID).otherwise(at)
+
+
 def ko_tokens(text: Column, limit: int = MAX_TOKENS) -> Column:
     """Distinct Hangul and Han runs by weight, then name.
 
@@ -67,11 +73,11 @@ def ko_tokens(text: Column, limit: int = MAX_TOKENS) -> Column:
         F.transform(
             glosses,
             lambda g: F.array(
-                *[F.struct((-_weight(F.instr(text, g) - 1)).alias("less"), F.regexp_extract(g, pattern, k).alias("token")) for k in (1, 2)]
+                *[F.struct((-_weight(_place(text, g))).alias("less"), F.regexp_extract(g, pattern, k).alias("token")) for k in (1, 2)]
             ),
         )
     )
-    plain = F.transform(runs, lambda r: F.struct((-_weight(F.instr(text, r) - 1)).alias("less"), r.alias("token")))
+    plain = F.transform(runs, lambda r: F.struct((-_weight(_place(text, r))).alias("less"), r.alias("token")))
     ranked = F.array_distinct(F.transform(F.array_sort(F.concat(sides, plain)), lambda x: x["token"]))
     return F.coalesce(F.slice(ranked, 1, limit), F.array().cast("array<string>"))
 

@@ -27,6 +27,12 @@ def with_dict(entries: DataFrame, dicts: DataFrame, *columns: str) -> DataFrame:
     return entries.join(side, "dict")
 
 
+def with_priority(entries: DataFrame, dicts: DataFrame) -> DataFrame:
+    """Entries with their own priority, else their dictionary's."""
+    side = dicts.select(F.col("slug").alias("dict"), F.col("priority").alias("__priority"))
+    return entries.join(side, "dict").withColumn("priority", F.coalesce("priority", "__priority")).drop("__priority")
+
+
 def frequency(entries: DataFrame) -> DataFrame:
     """(norm, score): hundredths summed as integers, one weight per entry."""
     weight = F.greatest(F.lit(1), 100 - F.col("priority")).cast("long")
@@ -49,17 +55,21 @@ def spellings(entries: DataFrame) -> DataFrame:
     return entries.where("headword_norm <> '' and headword_iast <> ''").groupBy(F.col("headword_norm").alias("norm")).agg(first_by("headword_iast").alias("iast"))
 
 
-def buckets(entries: DataFrame, top: DataFrame, translations: DataFrame, snippet: int = 350, ko: int = 2000) -> DataFrame:
-    """Tier-0: per top headword its first spelling and its entries by
-    (priority, dict), ties in file order.
+def bucket_rows(entries: DataFrame, top: DataFrame, translations: DataFrame, snippet: int = 350, ko: int = 2000) -> DataFrame:
+    """Tier-0, one row for each entry of a top headword: its rank, first spelling
+    and ``place`` by (priority, dict), ties in file order.
 
-    ``top`` has (rank, norm): at most n rows, so the semi-join's side is small
-    by construction.
+    ``top`` has (rank, norm): at most n rows, so the join's side is small by
+    construction.  Rows stay long, so a headword may have any number of entries.
     """
     hits = entries.join(top.select(F.col("norm").alias("headword_norm"), "rank"), "headword_norm")
-    hits = hits.join(translations.withColumnRenamed("ko", "translated").withColumnRenamed("entry_id", "id"), "id", "left")
+    first = hits.groupBy("headword_norm").agg(F.min_by(F.coalesce("headword_iast", "headword"), F.struct(*ORDER)).alias("iast"))  # n rows at most
+    hits = hits.join(translations.withColumnRenamed("ko", "translated").withColumnRenamed("entry_id", "id"), "id", "left").drop("iast").join(first, "headword_norm")
     text = F.coalesce(F.expr("nullif(trim(ko), '')"), F.col("translated"), F.lit(""))
-    row = F.struct(
+    rows = hits.select(
+        "rank",
+        F.col("headword_norm").alias("norm"),
+        "iast",
         "priority",
         "dict",
         "seq",
@@ -71,12 +81,7 @@ def buckets(entries: DataFrame, top: DataFrame, translations: DataFrame, snippet
         F.substring(text, 1, ko).alias("ko"),
         F.coalesce(F.expr("nullif(target_lang, '')"), F.expr("nullif(lang, '')"), F.lit("en")).alias("target_lang"),
     )
-    iast = F.coalesce("headword_iast", "headword")
-    return (
-        hits.groupBy("rank", F.col("headword_norm").alias("norm"))
-        .agg(F.min_by(iast, F.struct(*ORDER)).alias("iast"), F.array_sort(F.collect_list(row)).alias("entries"))
-        .select("rank", "norm", "iast", "entries")
-    )
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("norm").orderBy(*ORDER)).cast("long"))
 
 
 def clean_zh(zh: Column) -> Column:

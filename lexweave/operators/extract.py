@@ -21,9 +21,18 @@ def clean_headword(raw: Column) -> Column:
     return strip(head)
 
 
-def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
-    """Adds ``seq`` 1.. within each group."""
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+def numbered(rows: DataFrame, group: str, order: str, width: int = 65_536) -> DataFrame:
+    """Adds ``seq`` 1.. within each group by a numeric column.
+
+    Rows are counted within ranges of its values and offset by the ranges
+    before, so that a group with a third of all rows is not one task's."""
+    cut = rows.withColumn("__range", F.floor(F.col(order) / width))
+    sizes = cut.groupBy(group, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(group).alias("__group"), F.col("__range").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(group, "__range").orderBy(order))
+    met = cut.withColumn("__row", own).join(sizes, F.col(group).eqNullSafe(F.col("__group")) & F.col("__range").eqNullSafe(F.col("__at")))
+    return met.withColumn("seq", (F.col("__before") + F.col("__row")).cast("int")).drop("__range", "__row", "__group", "__at", "__before")
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -80,20 +89,29 @@ def make_entries(rows: DataFrame, dicts: DataFrame) -> DataFrame:
     )
 
 
-def islands(lines: DataFrame, group: str, order: str, is_head: Column, keep: Column | None = None, resets: Column | None = None) -> DataFrame:
+def islands(lines: DataFrame, group: str, order: str, is_head: Column, keep: Column | None = None, resets: Column | None = None, width: int = 65_536) -> DataFrame:
     """Records from a line stream: a head line opens one, later lines join it.
 
     (group, record, line, is_head) of the lines of records.  ``keep`` drops
     lines that belong to none; a line that ``resets`` closes the open record
-    without opening one (a head whose rest is not valid, say).
+    without opening one (a head whose rest is not valid, say).  ``order`` is
+    numeric; windows hold one of its ranges of ``width``.
     """
     resets = F.lit(False) if resets is None else resets
     opens = F.when(resets, F.lit(0)).when(is_head, F.lit(1))
-    so_far = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = lines.withColumns({"is_head": is_head & ~resets, "__turn": F.when(resets | is_head, F.lit(1)).otherwise(0), "__open": opens})
+    rows = lines.withColumns({"is_head": is_head & ~resets, "__turn": F.when(resets | is_head, F.lit(1)).otherwise(0), "__open": opens, "__range": F.floor(F.col(order) / width)})
+    # within ranges of the order, then what the ranges before leave open
+    so_far = Window.partitionBy(group, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("record", F.sum("__turn").over(so_far)).withColumn("__live", F.last("__open", ignorenulls=True).over(so_far))
+    ends = rows.groupBy(group, "__range").agg(F.sum("__turn").alias("__n"), F.max_by("__open", F.when(F.col("__open").isNotNull(), F.col(order))).alias("__last"))
+    before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(
+        F.col(group).alias("__group"), F.col("__range").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__earlier"), F.last("__last", ignorenulls=True).over(before).alias("__left")
+    )
+    rows = rows.join(carry, F.col(group).eqNullSafe(F.col("__group")) & F.col("__range").eqNullSafe(F.col("__at")))
+    rows = rows.withColumns({"record": F.col("record") + F.col("__earlier"), "__live": F.coalesce("__live", "__left")})
     rows = rows.where((F.col("__live") == 1) & (F.lit(True) if keep is None else (keep | F.col("is_head"))))
-    return rows.drop("__turn", "__open", "__live")
+    return rows.drop("__turn", "__open", "__live", "__range", "__group", "__at", "__earlier", "__left")
 
 
 def collected(records: DataFrame, group: str, order: str, text: str) -> DataFrame:
@@ -107,15 +125,16 @@ def chapters(numbers: Column) -> Column:
     """Chapter of each verse number of an ordered array (nulls for verses without
     one): a new chapter begins when a number of at most 5 falls more than 10
     under the running maximum of 10 or more."""
-    zero = F.struct(F.lit(1).alias("chapter"), F.lit(0).alias("most"), F.array().cast("array<int>").alias("out"))
+    # the fold keeps where chapters begin, which are few, not a chapter for each verse
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"), F.array().cast("array<int>").alias("begun"))
 
     def step(s: Column, n: Column) -> Column:
         new = n.isNotNull() & (s["most"] >= 10) & (n <= 5) & (n < s["most"] - 10)
-        chapter = s["chapter"] + F.when(new, 1).otherwise(0)
         most = F.when(new, n).otherwise(F.greatest(s["most"], n))
-        return F.struct(chapter.alias("chapter"), most.alias("most"), F.concat(s["out"], F.array(chapter)).alias("out"))
+        return F.struct((s["at"] + 1).alias("at"), most.alias("most"), F.when(new, F.concat(s["begun"], F.array(s["at"]))).otherwise(s["begun"]).alias("begun"))
 
-    return F.aggregate(F.transform(numbers, lambda n: n.cast("int")), zero, step, lambda s: s["out"])
+    begun = F.aggregate(F.transform(numbers, lambda n: n.cast("int")), zero, step, lambda s: s["begun"])
+    return F.transform(numbers, lambda n, i: F.size(F.filter(begun, lambda b: b <= i)) + 1)
 
 
 def verses(stream: Column) -> Column:

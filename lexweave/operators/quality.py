@@ -198,6 +198,18 @@ def format_rank(source_format: Column, known: list[str]) -> Column:
     return reduce(lambda acc, kv: acc.when(source_format == kv[1], kv[0]), enumerate(known), F).otherwise(len(known))
 
 
+#: Endings of source names in order of preference; other names are as good as the first.
+FORMATS = ["dict", "gretil", "sandic", "apple"]
+
+
+def canonical(a: Column, b: Column, count_a: Column, count_b: Column) -> Column:
+    """Which of two duplicate sources stays: better format, more entries, lesser name."""
+    rank = lambda name: reduce(lambda acc, kv: acc.when(F.endswith(name, F.lit(kv[1])), kv[0]), enumerate(FORMATS), F).otherwise(0)
+    ra, rb = rank(a), rank(b)
+    first = F.when(ra != rb, ra < rb).when(count_a != count_b, count_a > count_b).otherwise(a <= b)
+    return F.when(first, a).otherwise(b)
+
+
 def hash_sample(rows: DataFrame, key: str, n: int = 20) -> DataFrame:
     """n rows that any run picks alike."""
     return rows.orderBy(F.xxhash64(key), key).limit(n)
@@ -226,10 +238,15 @@ def drop_reason(conf: Column, n: Column, least: float = 60, longest: int = 8) ->
     return F.when(low & long, "low_conf+long_hw").when(low, "low_conf").when(long, "long_hw")
 
 
-def upper_median(x: str) -> Column:
-    """Element n // 2 of the sorted values."""
-    values = F.array_sort(F.collect_list(x))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def upper_median(rows: DataFrame, group: str, x: str) -> DataFrame:
+    """(group, upper_median): element n // 2 of the sorted values, from 0.
+
+    Equal values are counted before they are ordered, and nothing is collected."""
+    counts = rows.where(F.col(x).isNotNull()).groupBy(group, x).agg(F.count(F.lit(1)).alias("__n"))
+    own = Window.partitionBy(group)
+    upto = F.sum("__n").over(own.orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.select(group, x, upto.alias("__upto"), F.sum("__n").over(own).alias("__all"))
+    return placed.where(F.col("__upto") > F.floor(F.col("__all") / 2)).groupBy(group).agg(F.min(x).alias("upper_median"))
 
 
 def summary(rows: DataFrame, group: str, x: str) -> DataFrame:

@@ -94,13 +94,12 @@ def _buckets(spark: SparkSession, sf_dir: str, n: int = TOP) -> DataFrame:
     e = standin.definitions(spark, sf_dir).withColumns(
         {"ko": F.lit(None).cast("string"), "snippet_short": F.substring("plain", 1, 120), "snippet_medium": F.col("plain")}
     )
-    return build.buckets(e, _top(spark, sf_dir, n), standin.translations(spark, sf_dir))
+    return build.bucket_rows(e, _top(spark, sf_dir, n), standin.translations(spark, sf_dir))
 
 
 @query(with_sql(ENTRIES_SQL, FREQUENCY_SQL) + _top_sql + _bucket_sql + _bucket_rows)
 def tier0_buckets(spark, sf_dir):
-    rows = _buckets(spark, sf_dir).select("rank", "norm", "iast", F.posexplode("entries").alias("at", "e"))
-    return rows.select("rank", "norm", "iast", (F.col("at") + 1).cast("long").alias("place"), "e.id", "e.short", "e.tier", "e.snippet_medium", "e.ko", "e.target_lang")
+    return _buckets(spark, sf_dir).select("rank", "norm", "iast", "place", "id", "short", "tier", "snippet_medium", "ko", "target_lang")
 
 
 @query(with_sql(ENTRIES_SQL, FREQUENCY_SQL) + _top_sql + _bucket_sql + "SELECT norm, iast FROM firsts WHERE norm = (SELECT min(headword_norm) FROM hits WHERE id = 'src2-000002')")
@@ -148,18 +147,56 @@ def reverse_meta(spark, sf_dir):
 @query(
     with_sql(ENTRIES_SQL, TOKENS_SQL, REVERSE_SQL)
     + """SELECT l.token, l.rank, l.id, coalesce(e.headword, '(미상)') AS iast, coalesce(e.dict, regexp_replace(l.id, '-\\d+$', '')) AS dict
-FROM lists l LEFT JOIN (SELECT * FROM entries WHERE n % 2 = 0 AND headword <> '') e USING (id) WHERE l.rank <= 30 AND starts_with(l.token, 'a')"""
+FROM lists l LEFT JOIN (SELECT * FROM entries WHERE n % 2 = 0 AND headword <> '') e USING (id) WHERE l.rank <= 30"""
 )
 def reverse_resolved(spark, sf_dir):
+    # reverse meta of every second source, so that hits without an entry are met as well
     meta = standin.entries(spark, sf_dir).where("n % 2 = 0 and headword <> ''").select("id", F.col("headword").alias("iast"), "dict")
-    return search.resolve(reverse_lists(spark, sf_dir).where(F.col("token").startswith("a")), meta)
+    return search.resolve(reverse_lists(spark, sf_dir), meta)
 
 
-@query()
-def reverse_resolved_all(spark, sf_dir):
-    """All tokens and sources; the SQL of reverse_resolved has tokens on 'a' and every second source."""
-    meta = standin.entries(spark, sf_dir).where("headword <> ''").select("id", F.col("headword").alias("iast"), "dict")
-    return search.resolve(reverse_lists(spark, sf_dir), meta)
+# Korean definitions: the letters of the test texts as Hangul and Han ones
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+_HANGUL = "가나다라마바사아자차카타파하거너더러머버서어저처커터"
+_CAPITALS, _HAN = "ABCDEFGH", "一丁七万丈三上下"
+
+
+def korean(text: str) -> str:
+    return text.translate(str.maketrans(_LATIN + _CAPITALS, _HANGUL + _HAN))
+
+
+def korean_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, priority, headword, token, pos) of the definitions in Korean letters."""
+    e = standin.definitions(spark, sf_dir).withColumn("ko", F.translate("plain", _LATIN + _CAPITALS, _HANGUL + _HAN))
+    return e.select("id", "priority", "headword", F.posexplode(ko_tokens(F.col("ko"))).alias("pos", "token"))
+
+
+_ko_place = "coalesce(nullif(instr(substr(ko, 1, 100 + length(r)), r), 0) - 1, 100)"
+KO_TOKENS_SQL = f"""
+ko1 AS (SELECT id, priority, headword, translate(plain, '{_LATIN + _CAPITALS}', '{_HANGUL + _HAN}') AS ko FROM definitions),
+ko2 AS (SELECT id, priority, headword, ko, unnest(list_distinct(regexp_extract_all(ko, '[가-힯]+|[一-鿿]+'))) AS r FROM ko1),
+ko3 AS (SELECT id, priority, headword, r AS token, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN {_ko_place} < 30 THEN 0 WHEN {_ko_place} < 100 THEN 1 ELSE 2 END, r) - 1 AS pos FROM ko2),
+ko_tokens AS (SELECT * FROM ko3 WHERE pos < 20),
+ko_ranked AS (
+  SELECT token, id, row_number() OVER (PARTITION BY token ORDER BY greatest(0, 5 - pos) DESC, priority, length(headword), id DESC) AS rank
+  FROM ko_tokens),
+ko_lists AS (
+  SELECT token, rank, id FROM (SELECT *, count(*) OVER (PARTITION BY token) AS size FROM ko_ranked WHERE rank <= 100) WHERE size >= 3)"""
+
+
+@query(with_sql(ENTRIES_SQL, KO_TOKENS_SQL) + "SELECT token, rank, id FROM ko_lists")
+def reverse_topk_korean(spark, sf_dir):
+    return build.reverse_lists(korean_definitions(spark, sf_dir))
+
+
+@query(
+    with_sql(ENTRIES_SQL)
+    + "SELECT e.id, coalesce(CASE WHEN e.doc_id % 3 = 0 THEN e.doc_id % 100 END, d.priority) AS priority FROM entries e JOIN dicts d ON e.dict = d.slug WHERE NOT d.exclude_from_search"
+)
+def inline_priorities(spark, sf_dir):
+    """An entry's own priority comes before its dictionary's."""
+    e = standin.entries(spark, sf_dir).withColumn("priority", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 100))
+    return build.with_priority(e, build.visible(standin.dicts(spark, sf_dir))).select("id", "priority")
 
 
 KO_TEXTS = [(1, "법(法); 규범, 조례"), (2, "의무 duty 義務"), (3, "불교의 가르침(敎); 진리, 법"), (4, ""), (5, "해탈、 解脫·열반(涅槃)")]
@@ -278,23 +315,20 @@ def priority_filter(spark, sf_dir):
 
 
 # --- composite search --------------------------------------------------------------------
-QUESTIONS = [(1, "the"), (2, "Of"), (3, "  and "), (4, "queue"), (5, ""), (6, "des"), (7, "th"), (8, "La"), (9, "12"), (10, "que")]
+QUESTIONS = [(1, "the"), (2, "Of"), (3, "  and "), (4, "queue"), (5, ""), (6, "des"), (7, "th"), (8, "La"), (9, "12"), (10, "que"), (11, "커아마"), (12, "파마"), (13, "나가")]
 
 
 def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Search tables of the test corpus: French entries stand for the second tier."""
-    from ..operators.build import buckets
-
     e = standin.definitions(spark, sf_dir).withColumns({"ko": F.lit(None).cast("string"), "snippet_short": F.substring("plain", 1, 120), "snippet_medium": F.col("plain")})
     top, tr = _top(spark, sf_dir), standin.translations(spark, sf_dir)
-    none = reverse_lists(spark, sf_dir).where(F.lit(False))
     return {
-        "tier0": buckets(e.where("lang <> 'fr'"), top, tr),
-        "tier0_bo": buckets(e.where("lang = 'fr'"), top, tr),
+        "tier0": build.bucket_rows(e.where("lang <> 'fr'"), top, tr),
+        "tier0_bo": build.bucket_rows(e.where("lang = 'fr'"), top, tr),
         "equiv_keys": _equiv_keys(spark, sf_dir),
         "equiv_rows": _equivalents(spark, sf_dir),
         "reverse_en": reverse_lists(spark, sf_dir),
-        "reverse_ko": none,
+        "reverse_ko": build.reverse_lists(korean_definitions(spark, sf_dir)),
         "headwords": build.spellings(standin.definitions(spark, sf_dir)),
     }
 
@@ -303,7 +337,7 @@ _questions_sql = f"asked AS (SELECT * FROM {values(QUESTIONS)} t(qid, raw))"
 
 
 @query(
-    with_sql(ENTRIES_SQL, FREQUENCY_SQL, TOKENS_SQL, REVERSE_SQL, EQUIV_SQL, _KEYS_SQL, _questions_sql, _keyed_sql)
+    with_sql(ENTRIES_SQL, FREQUENCY_SQL, TOKENS_SQL, REVERSE_SQL, KO_TOKENS_SQL, EQUIV_SQL, _KEYS_SQL, _questions_sql, _keyed_sql)
     + _top_sql
     + f""", spell AS (SELECT headword_norm AS norm, arg_min(headword, struct_pack(p := priority, d := dict, s := seq)) AS iast FROM definitions WHERE headword_norm <> '' AND headword <> '' GROUP BY 1),
 hits AS (SELECT k.qid, row_number() OVER (PARTITION BY k.qid ORDER BY e.lang = 'fr', e.priority, e.dict, e.seq) AS rank, e.id AS item
@@ -314,6 +348,7 @@ SELECT qid::INT AS qid, 'exact' AS channel, rank, item FROM hits
 UNION ALL SELECT qid::INT, 'equivalents', row_number() OVER (PARTITION BY qid ORDER BY row_id), row_id::VARCHAR FROM eq
 UNION ALL SELECT k.qid::INT, 'reverse_en', l.rank, l.id FROM keyed k JOIN lists l ON l.token = lower(k.q)
   WHERE regexp_matches(lower(k.q), '^[a-z''\\-]+$') AND NOT (regexp_matches(q, '[AIUTDNSGJRMH]') AND regexp_matches(q, '[a-z]'))
+UNION ALL SELECT k.qid::INT, 'reverse_ko', l.rank, l.id FROM keyed k JOIN ko_lists l ON l.token = k.q WHERE regexp_matches(k.q, '[가-힣]')
 UNION ALL SELECT qid::INT, 'partial', rank, item FROM part20"""
 )
 def search_union(spark, sf_dir):
@@ -374,13 +409,7 @@ def merged_dedup(spark, sf_dir):
 @query(
     with_sql(ENTRIES_SQL, FREQUENCY_SQL)
     + """SELECT headword_norm AS norm, headword AS iast, dict, arg_min(plain, struct_pack(p := priority, d := dict, s := seq)) AS body FROM entries
-WHERE n % 4 = 0 AND headword_norm <> '' AND plain <> '' AND headword_norm IN (SELECT norm FROM frequency ORDER BY centi DESC, norm LIMIT 1000) GROUP BY ALL"""
+WHERE headword_norm <> '' AND plain <> '' AND headword_norm IN (SELECT norm FROM frequency ORDER BY centi DESC, norm LIMIT 1000) GROUP BY ALL"""
 )
 def declension_index(spark, sf_dir):
-    return build.declensions(standin.entries(spark, sf_dir).where("n % 4 = 0"), _top(spark, sf_dir)).select("norm", "iast", "dict", "body")
-
-
-@query()
-def declension_index_all(spark, sf_dir):
-    """All sources; the SQL of declension_index has every fourth."""
     return build.declensions(standin.entries(spark, sf_dir), _top(spark, sf_dir)).select("norm", "iast", "dict", "body")

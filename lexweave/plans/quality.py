@@ -168,23 +168,54 @@ def first_n_samples(spark, sf_dir):
     return quality.first_samples(standin.table(spark, sf_dir, "documents"), "source", "doc_id").select("source", "place", "doc_id")
 
 
+_IAST_FORM = "^[a-zA-ZāīūṛṝḷḹṃḥṅñṭḍṇśṣṁĀĪŪṚṜḶḸṂṀḤṄÑṬḌṆŚṢ ''\\-.,()/|]+$"
+
+
 @query(
     with_sql(ENTRIES_SQL)
-    + """SELECT dict, count(*) AS entries, count(*) FILTER (WHERE priority > 95 OR headword = '' OR headword_norm = '') AS errors,
-  count(*) FILTER (WHERE trim(plain) = '') AS empty FROM entries GROUP BY 1"""
+    + f""", w AS (SELECT dict,
+  (CASE WHEN priority > 95 OR headword = '' OR headword_norm = '' THEN 1 ELSE 0 END) AS wrong,
+  (CASE WHEN dict NOT IN ('src3', 'src4') AND (lang = 'de' AND NOT regexp_matches(headword, '^[a-zA-Z0-9 ''\\-.,()/|_+]+$')
+     OR lang = 'fr' AND NOT regexp_matches(headword, '{_IAST_FORM}')) THEN 1 ELSE 0 END)
+  + (CASE WHEN trim(plain) = '' THEN 1 ELSE 0 END)
+  + (CASE WHEN len(list_filter(string_split(lower(plain), ' '), lambda t: NOT regexp_matches(t, '^[a-z]{{2,}}$'))) > 0 THEN 1 ELSE 0 END)
+  + (CASE WHEN length(plain) > 180 THEN 1 ELSE 0 END) AS warned FROM entries)
+SELECT row_number() OVER (ORDER BY errors * 100 + warnings DESC, dict) AS place, * FROM (
+  SELECT dict, count(*) AS entries, sum(wrong)::BIGINT AS errors, sum(warned)::BIGINT AS warnings FROM w GROUP BY 1)"""
 )
 def verify_entries(spark, sf_dir):
+    """Errors and warnings of each source, two of them exempt from the spelling check, worst first."""
+    from pyspark.sql import Window
+
     e = standin.entries(spark, sf_dir).withColumns(
         {
             "priority": F.when(F.col("priority") > 95, 101).otherwise(F.col("priority")),
-            "body": F.struct("plain", F.lit("").alias("snippet_short"), F.lit("").alias("snippet_medium")),
-            "reverse": F.struct(en_tokens(F.substring("plain", 1, 200)).alias("en")),
+            "lang": F.when(F.col("lang") == "de", "bo").when(F.col("lang") == "fr", "skt").otherwise(F.col("lang")),
+            "body": F.struct("plain", F.col("plain").alias("snippet_short"), F.lit("").alias("snippet_medium")),
+            "reverse": F.struct(F.split(F.lower("plain"), " ").alias("en")),
         }
     )
-    e = e.select("dict", quality.entry_errors().alias("e"), quality.entry_warnings().alias("w"))
-    return e.groupBy("dict").agg(
-        F.count(F.lit(1)).alias("entries"), F.count_if(F.size("e") > 0).alias("errors"), F.count_if(F.array_contains("w", "empty body")).alias("empty")
-    )
+    order = Window.orderBy((F.col("errors") * 100 + F.col("warnings")).desc(), "dict")  # one row for each source
+    rows = quality.verify(e, exempt=F.col("dict").isin("src3", "src4"))
+    return rows.select(F.row_number().over(order).cast("long").alias("place"), "dict", "entries", "errors", "warnings")
+
+
+@query(
+    with_sql(ENTRIES_SQL)
+    + """, d AS (SELECT source || CASE WHEN n % 4 = 0 THEN '.dict' WHEN n % 4 = 1 THEN '.gretil' WHEN n % 4 = 2 THEN '.apple' ELSE '' END AS name, n, size,
+  CASE WHEN n % 4 = 1 THEN 2 WHEN n % 4 = 2 THEN 4 ELSE 1 END AS rank FROM (SELECT dict AS source, n, count(*) AS size FROM entries GROUP BY ALL))
+SELECT a.name AS a, b.name AS b, CASE WHEN a.rank <> b.rank THEN CASE WHEN a.rank < b.rank THEN a.name ELSE b.name END
+  WHEN a.size <> b.size THEN CASE WHEN a.size > b.size THEN a.name ELSE b.name END ELSE least(a.name, b.name) END AS canonical
+FROM d a JOIN d b ON a.name < b.name"""
+)
+def canonical_picks(spark, sf_dir):
+    """Of two duplicates the one in the better format, then the larger, then the first by name."""
+    n = F.col("n") % 4
+    suffix = F.when(n == 0, ".dict").when(n == 1, ".gretil").when(n == 2, ".apple").otherwise("")
+    d = standin.entries(spark, sf_dir).groupBy("dict", "n").agg(F.count(F.lit(1)).alias("count")).select(F.concat("dict", suffix).alias("name"), "count")
+    a, b = (d.select(F.col("name").alias(x), F.col("count").alias(f"count_{x}")) for x in "ab")  # one row for each source
+    pairs = a.join(b, F.col("a") < F.col("b"))
+    return pairs.select("a", "b", quality.canonical(F.col("a"), F.col("b"), F.col("count_a"), F.col("count_b")).alias("canonical"))
 
 
 # --- overlap --------------------------------------------------------------------------
@@ -261,7 +292,7 @@ def distribution_stats(spark, sf_dir):
 
 @query("SELECT source, list_sort(list(n_chars))[count(*) // 2 + 1] AS upper_median FROM documents GROUP BY 1")
 def upper_medians(spark, sf_dir):
-    return standin.table(spark, sf_dir, "documents").groupBy("source").agg(quality.upper_median("n_chars").alias("upper_median"))
+    return quality.upper_median(standin.table(spark, sf_dir, "documents"), "source", "n_chars")
 
 
 @query(with_sql(ENTRIES_SQL) + "SELECT floor(priority / 10)::BIGINT AS decade, floor((priority - 1) / 10)::BIGINT AS band, count(*) AS n FROM dicts GROUP BY ALL")

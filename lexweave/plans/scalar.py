@@ -67,18 +67,27 @@ def detect_script(spark, sf_dir):
     return spark.createDataFrame(KINDS, "id int, s string, x string").select("id", script.detect_script(F.col("s")).alias("script"))
 
 
+#: Latin letters as Devanagari, Hangul and Han ones, so that script detection meets all of them.
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+_DEVA_LETTERS = "कखगघङचछजझञटठडढणतथदधनपफबभमय"
+_HANGUL = "가나다라마바사아자차카타파하거너더러머버서어저처커터"
+_HAN = "一丁七万丈三上下不与丑专且世丘丙业丛东丝丞两严丧个中"
+_SCRIPTED = "CASE doc_id % 5 WHEN 0 THEN translate(text, '{0}', '{1}') WHEN 1 THEN translate(text, '{0}', '{2}') WHEN 2 THEN translate(text, '{0}', '{3}') ELSE text END".format(_LATIN, _DEVA_LETTERS, _HANGUL, _HAN)
+
+
 @query(
-    f"""SELECT doc_id, coalesce(regexp_matches(h, '^[a-zA-ZāīūṛṝḷḹṃḥṅñṭḍṇśṣṁĀĪŪṚṜḶḸṂṀḤṄÑṬḌṆŚṢ ''\\-.,()/|]+$'), false) AS iast, coalesce(regexp_matches(h, '^[a-zA-Z0-9 ''\\-.,()/|_+]+$'), false) AS wylie,
-  {_IS_HK.format("h")} AS hk FROM (SELECT doc_id, substr(text, 1, 40) AS h FROM documents)"""
+    f"""SELECT doc_id, CASE WHEN coalesce(trim(t), '') = '' THEN 'empty' WHEN regexp_matches(t, '[ऀ-ॿ]') THEN 'devanagari' WHEN regexp_matches(t, '[一-鿿]') THEN 'cjk'
+  WHEN regexp_matches(t, '[가-힣]') THEN 'korean' WHEN {_IS_HK.format("t")} THEN 'hk' ELSE 'iast' END AS script FROM (SELECT doc_id, {_SCRIPTED} AS t FROM documents)"""
 )
-def valid_forms(spark, sf_dir):
-    h = F.substring("text", 1, 40)
-    return standin.table(spark, sf_dir, "documents").select("doc_id", script.is_valid_iast(h).alias("iast"), script.is_valid_wylie(h).alias("wylie"), script.has_hk_signature(h).alias("hk"))
+def detect_script_of_documents(spark, sf_dir):
+    return standin.table(spark, sf_dir, "documents").select("doc_id", script.detect_script(F.expr(_SCRIPTED)).alias("script"))
 
 
-@query()
-def valid_forms_of_whole_texts(spark, sf_dir):
-    """The SQL of valid_forms stops at 40 characters."""
+@query(
+    f"""SELECT doc_id, coalesce(regexp_matches(h, '^[a-zA-ZāīūṛṝḷḹṃḥṅñṭḍṇśṣṁĀĪŪṚṜḶḸṂṀḤṄÑṬḌṆŚṢ ''\\-.,()/|]+$'), false) AS iast, coalesce(regexp_matches(h, '^[a-zA-Z0-9 ''\\-.,()/|_+]+$'), false) AS wylie,
+  {_IS_HK.format("h")} AS hk FROM (SELECT doc_id, text AS h FROM documents)"""
+)
+def valid_forms(spark, sf_dir):
     h = F.col("text")
     return standin.table(spark, sf_dir, "documents").select("doc_id", script.is_valid_iast(h).alias("iast"), script.is_valid_wylie(h).alias("wylie"), script.has_hk_signature(h).alias("hk"))
 
@@ -88,9 +97,9 @@ def normalize_whitespace(spark, sf_dir):
     return standin.table(spark, sf_dir, "documents").select("doc_id", script.normalize_whitespace(F.col("text")).alias("flat"))
 
 
-@query("SELECT doc_id, replace(translate(text, 'äöüÄÖÜ', 'āōūĀŌŪ'), 'ß', 'ss') AS iast FROM documents WHERE lang = 'de'")
+@query("SELECT doc_id, replace(translate(text, 'äöüÄÖÜ', 'āōūĀŌŪ'), 'ß', 'ss') AS iast FROM documents")
 def umlauts_to_iast(spark, sf_dir):
-    return standin.table(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id", script.umlauts_to_iast(F.col("text")).alias("iast"))
+    return standin.table(spark, sf_dir, "documents").select("doc_id", script.umlauts_to_iast(F.col("text")).alias("iast"))
 
 
 # --- markup ---------------------------------------------------------------------
@@ -123,43 +132,43 @@ _PARTS = "string_split_regex(body, ' \\d+\\. ')"
 
 
 @query(
-    f"""WITH b AS (SELECT doc_id, replace(replace(text, ', ', ' 1. '), '. ', ' 2. ') AS body FROM documents WHERE length(text) < 2000),
+    f"""WITH b AS (SELECT doc_id, replace(replace(text, ', ', ' 1. '), '. ', ' 2. ') AS body FROM documents),
 s AS (SELECT doc_id, {_MARKS} AS m, {_PARTS} AS p FROM b),
 r AS (SELECT doc_id, i AS ord, CASE WHEN i = 1 THEN '1' ELSE m[i - 1] END AS num, trim(p[i], ' ' || chr(10)) AS text FROM s, range(1, len(p) + 1) AS g(i) WHERE len(m) >= 2)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1)::INT AS pos, num, text FROM r WHERE text <> ''"""
 )
 def senses_of_documents(spark, sf_dir):
-    return _senses(standin.table(spark, sf_dir, "documents").where("length(text) < 2000"))
-
-
-@query()
-def senses_of_whole_documents(spark, sf_dir):
-    """Documents of any length; the SQL of senses_of_documents stops at 2000 characters."""
-    return _senses(standin.table(spark, sf_dir, "documents"))
-
-
-def _senses(d):
+    d = standin.table(spark, sf_dir, "documents")
     body = F.replace(F.replace("text", F.lit(", "), F.lit(" 1. ")), F.lit(". "), F.lit(" 2. "))
     found = d.withColumn("sep", F.lit(" (\\d+)\\. ")).select("doc_id", F.posexplode(snippets.senses(body, F.col("sep"))).alias("pos", "x"))
     return found.select("doc_id", "pos", "x.num", "x.text")
 
 
-@query(
-    """SELECT doc_id, CASE WHEN i1 > 1 THEN substr(h, 1, i1 - 1) ELSE h END AS head
-FROM (SELECT doc_id, trim(substr(text, 1, 60)) AS h, instr(trim(substr(text, 1, 60)), chr(10)) AS i1 FROM documents WHERE NOT regexp_matches(substr(text, 1, 60), '[\\t\\r{<]'))"""
-)
-def clean_headwords(spark, sf_dir):
-    h = F.substring("text", 1, 60)
-    return standin.table(spark, sf_dir, "documents").where(~h.rlike("[\\t\\r{<]")).select("doc_id", extract.clean_headword(F.trim(h)).alias("head"))
+_CUT = "CASE WHEN instr(h, {0}) > 1 THEN substr(h, 1, instr(h, {0}) - 1) ELSE h END"
+_cut_sql = "SELECT doc_id, trim(text) AS h FROM documents"
+for _mark in ("chr(10)", "chr(9)", "chr(13)", "'{'", "'<'"):
+    _cut_sql = f"SELECT doc_id, {_CUT.format(_mark)} AS h FROM ({_cut_sql})"
 
 
-@query()
-def clean_headwords_of_whole_texts(spark, sf_dir):
-    """All rows and delimiters; the SQL of clean_headwords stops at 60 characters and knows newlines only."""
+@query(f"SELECT doc_id, {_STRIP.format('h')} AS head FROM ({_cut_sql})")
+def clean_headwords(spark, sf_dir):
     return standin.table(spark, sf_dir, "documents").select("doc_id", extract.clean_headword(F.trim("text")).alias("head"))
 
 
 # --- tags, grids, parsers ------------------------------------------------------------
+_KINDS = "CASE doc_id % 5 WHEN 0 THEN 'tib-' || source WHEN 1 THEN source || '-pali' WHEN 2 THEN 'pali-' || source ELSE source END"
+_TARGETS = "CASE lang WHEN 'de' THEN 'bo' WHEN 'es' THEN 'pi' WHEN 'fr' THEN NULL ELSE lang END"
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN target IN ('bo', 'pi') THEN target WHEN starts_with(slug, 'tib-') THEN 'bo'
+  WHEN contains(slug, '-pali') OR contains(slug, 'pali-') THEN 'pi' ELSE 'sa' END AS lang FROM (SELECT doc_id, {_KINDS} AS slug, {_TARGETS} AS target FROM documents)"""
+)
+def entry_languages_of_documents(spark, sf_dir):
+    d = standin.table(spark, sf_dir, "documents").select("doc_id", F.expr(_KINDS).alias("slug"), F.expr(_TARGETS).alias("target"))
+    return d.select("doc_id", gloss.entry_lang(F.col("slug"), F.col("target")).alias("lang"))
+
+
 SLUGS = [(1, "tib-a", "en"), (2, "pali-english", "en"), (3, "apte", "en"), (4, "x", "bo"), (5, "x", "pi"), (6, "en-pali", None)]
 _SLUG_LANGS = [(1, "bo"), (2, "pi"), (3, "sa"), (4, "bo"), (5, "pi"), (6, "pi")]
 
@@ -206,16 +215,10 @@ def marked_paragraphs(spark, sf_dir):
 _TERM = "list_filter(list_transform(string_split_regex(trim(text), '[;,]+'), lambda p: regexp_replace(p, '^[\\s\"“”‘’''.*　]+|[\\s.*\"　]+$', '', 'g')), lambda p: length(p) >= 2 AND regexp_matches(p, '[a-zA-Zāīūṛṝḷḹṃḥṅñṭḍṇśṣ]'))"
 
 
-@query(f"SELECT doc_id, len({_TERM}) AS n, {_TERM}[1] AS first FROM (SELECT doc_id, substr(text, 1, 300) AS text FROM documents)")
+@query(f"SELECT doc_id, len({_TERM}) AS n, array_to_string({_TERM}, '|') AS terms FROM documents")
 def sanskrit_terms(spark, sf_dir):
-    terms = parsers.sanskrit_terms(F.substring("text", 1, 300))
-    return standin.table(spark, sf_dir, "documents").select("doc_id", F.size(terms).cast("long").alias("n"), F.get(terms, 0).alias("first"))
-
-
-@query()
-def sanskrit_terms_of_whole_texts(spark, sf_dir):
-    """All terms; the SQL of sanskrit_terms stops at 300 characters."""
-    return standin.table(spark, sf_dir, "documents").select("doc_id", parsers.sanskrit_terms(F.col("text")).alias("terms"))
+    d = extract.once(standin.table(spark, sf_dir, "documents"), "terms", parsers.sanskrit_terms(F.col("text")))
+    return d.select("doc_id", F.size("terms").cast("long").alias("n"), F.array_join("terms", "|").alias("terms"))
 
 
 @query(
@@ -356,23 +359,13 @@ _SCORE = "CASE WHEN length(w) < 3 THEN -10.0 ELSE -abs(length(w) - 6) * 0.3 + ((
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, string_split(substr(text, 1, 200), ' ') AS ws FROM documents),
+    f"""WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents),
 u AS (SELECT doc_id, i, ws[i] AS w FROM w, range(1, len(ws) + 1) AS g(i) WHERE regexp_matches(ws[i], '^[a-z]+$'))
 SELECT doc_id, arg_max(w, struct_pack(s := round({_SCORE}, 9), i := -i)) AS head FROM u GROUP BY 1"""
 )
 def representative_synonyms(spark, sf_dir):
-    return _best_words(standin.table(spark, sf_dir, "documents"), F.substring("text", 1, 200))
-
-
-@query()
-def representative_synonyms_of_whole_texts(spark, sf_dir):
-    """The SQL of representative_synonyms stops at 200 characters."""
-    return _best_words(standin.table(spark, sf_dir, "documents"), F.col("text"))
-
-
-def _best_words(d, text):
-    words = F.filter(F.split(text, " "), lambda w: w.rlike("^[a-z]+\\z"))
-    rows = d.select("doc_id", words.alias("w")).where("size(w) > 0")
+    words = F.filter(F.split("text", " "), lambda w: w.rlike("^[a-z]+\\z"))
+    rows = standin.table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where("size(w) > 0")
     ranked = F.transform("w", lambda k, i: F.struct(F.round(extract.representative_score(k), 9).alias("score"), (-i).alias("less"), k.alias("key")))
     return rows.select("doc_id", F.array_max(ranked)["key"].alias("head"))
 

@@ -37,6 +37,27 @@ def headword_lines(spark, sf_dir):
     return rows.where("norm is not null")
 
 
+_LINE = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN '  ' WHEN 2 THEN p_name || chr(9) || p_brand ELSE p_name || chr(9) || p_brand || chr(9) || p_type END"
+
+
+@query(f"SELECT p_partkey, substr(v, 1, instr(v, chr(9)) - 1) AS norm, substr(v, instr(v, chr(9)) + 1) AS iast FROM (SELECT p_partkey, {_LINE} AS v FROM part) WHERE instr(v, chr(9)) > 0")
+def headword_lines_of_parts(spark, sf_dir):
+    norm, iast = tables.headword_lines(F.expr(_LINE))
+    return standin.table(spark, sf_dir, "part").select("p_partkey", norm.alias("norm"), iast.alias("iast")).where("norm is not null")
+
+
+_STATE = "CASE WHEN o_orderkey % 97 = 0 THEN 'error' WHEN o_orderkey % 5 = 0 THEN 'decoding' WHEN o_orderkey % 7 = 0 THEN 'fetching' WHEN o_orderkey % 11 = 0 THEN 'pending' ELSE 'done' END"
+
+
+@query(
+    f"""SELECT bundle, CASE WHEN bool_or(s = 'error') THEN 'error' WHEN bool_and(s = 'done') THEN 'done' WHEN bool_or(s = 'decoding') THEN 'decoding' WHEN bool_or(s = 'fetching') THEN 'fetching' ELSE 'pending' END AS status
+FROM (SELECT o_custkey AS bundle, {_STATE} AS s FROM orders) GROUP BY 1"""
+)
+def load_status_of_orders(spark, sf_dir):
+    o = standin.table(spark, sf_dir, "orders")
+    return tables.load_status(o.select(F.col("o_custkey").alias("bundle"), F.col("o_orderkey").alias("idx"), F.expr(_STATE).alias("status")))
+
+
 STATES = [(1, "a", "done"), (1, "b", "error"), (1, "c", "fetching"), (2, "a", "fetching"), (2, "b", "decoding"), (2, "c", "pending"), (3, "a", "done"), (3, "b", "done"), (4, "a", "pending"), (5, "a", "fetching"), (5, "b", "done")]
 
 
@@ -83,6 +104,19 @@ def score_list(spark, sf_dir):
     return sinks.score_list(s.select(F.col("s_suppkey").alias("rank"), F.col("s_name").alias("norm"), (F.col("s_acctbal") / 3).alias("score")))
 
 
+@query(
+    """SELECT p_partkey AS id, '{"slug":"' || p_brand || '"' || CASE WHEN p_size % 3 = 1 THEN ',"name":"' || p_name || '"' ELSE '' END
+  || CASE WHEN p_size % 5 <> 0 THEN ',"tier":' || (p_size % 4) ELSE '' END || ',"hidden":' || (p_size % 2 = 0)::VARCHAR || '}' AS json FROM part"""
+)
+def meta_json_of_parts(spark, sf_dir):
+    n = F.col("p_size")
+    rows = standin.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("slug"), F.when(n % 3 == 1, F.col("p_name")).when(n % 3 == 2, "").alias("name"),
+        F.when(n % 5 != 0, n % 4).alias("tier"), (n % 2 == 0).alias("hidden"),
+    )
+    return rows.select("id", sinks.meta_json(["slug:string", "name:string", "tier:int", "hidden:boolean"]).alias("json"))
+
+
 META = [(1, "a", "", 0, False), (2, "b", "x", 5, True), (3, "c", None, None, None)]
 _META_JSON = [(1, '{"slug":"a","tier":0,"hidden":false}'), (2, '{"slug":"b","name":"x","tier":5,"hidden":true}'), (3, '{"slug":"c"}')]
 
@@ -107,18 +141,12 @@ def island_parse(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT doc_id, i AS ord, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE lang = 'en'), range(1, len(l) + 1) AS g(i)),
+    """WITH r AS (SELECT doc_id, i AS ord, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), range(1, len(l) + 1) AS g(i)),
 m AS (SELECT *, CASE WHEN regexp_matches(line, '^[A-Z][a-z]+ .*\\.$') THEN 1 WHEN length(line) < 12 THEN 0 END AS mark FROM r),
 n AS (SELECT *, sum(CASE WHEN mark IS NOT NULL THEN 1 ELSE 0 END) OVER w AS record, last_value(mark IGNORE NULLS) OVER w AS live FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT doc_id, record::BIGINT AS record, count(*) AS n FROM n WHERE live = 1 GROUP BY 1, 2"""
 )
 def resetting_islands(spark, sf_dir):
-    return _records(standin.table(spark, sf_dir, "documents").where("lang = 'en'"))
-
-
-@query()
-def resetting_islands_all(spark, sf_dir):
-    """All languages; the SQL of resetting_islands has English."""
     return _records(standin.table(spark, sf_dir, "documents"))
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """One object a line, null members left out."""
-    df.write.mode("overwrite").json(path)
+    """One object a line, null members left out; replaces what is there once all is written."""
+    rewrite(df.sparkSession, df, path)
 
 
 def write_index(df: DataFrame, path: str) -> None:
@@ -60,14 +60,37 @@ def append_new(spark: SparkSession, df: DataFrame, path: str, key: str = "entry_
 
 
 def rewrite(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Replace a path by a frame that may read it: staged, then swapped."""
-    staged = f"{path.rstrip('/')}.staged"
-    df.write.mode("overwrite").json(staged)
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(fs_path(path), True)
-    if not fs.rename(fs_path(staged), fs_path(path)):
+    """Replace a path by a frame that may read it: staged, then swapped.
+
+    What was there is moved aside and removed last; a rewrite that stopped
+    between the moves is undone by :func:`recover`, which readers and the next
+    rewrite may call."""
+    base = path.rstrip("/")
+    recover(spark, path)
+    df.write.mode("overwrite").json(f"{base}.staged")
+    fs, at = _files(spark, path)
+    if fs.exists(at(base)) and not fs.rename(at(base), at(f"{base}.previous")):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(at(f"{base}.staged"), at(base)):
+        recover(spark, path)
         raise OSError(f"cannot replace {path}")
+    fs.delete(at(f"{base}.previous"), True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Bring back what an interrupted rewrite had moved aside."""
+    base = path.rstrip("/")
+    fs, at = _files(spark, path)
+    if fs.exists(at(f"{base}.previous")):
+        if fs.exists(at(base)):
+            fs.delete(at(f"{base}.previous"), True)
+        else:
+            fs.rename(at(f"{base}.previous"), at(base))
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def markdown(df: DataFrame, title: str, limit: int = 200) -> str:

@@ -85,7 +85,7 @@ def raw_entries(rows: DataFrame, dict_ids: list[int], limit: int | None = None)
 
 def resolve_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """(slug, name, dict_id); a name that is not known keeps a null id."""
-    return wanted.join(F.broadcast(known.select("name", F.col("id").alias("dict_id"))), "name", "left").select("slug", "name", "dict_id")
+    return wanted.join(known.select("name", F.col("id").alias("dict_id")), "name", "left").select("slug", "name", "dict_id")
 
 
 def read_translations(lines: DataFrame) -> DataFrame:
@@ -97,9 +97,11 @@ def read_translations(lines: DataFrame) -> DataFrame:
 
 
 def translation_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Numbered translation lines of a JSONL path."""
+    """Translation lines of a JSONL path with their order: file, then block of
+    the file, then line (a block is one task's, where numbers increase)."""
     df = spark.read.schema(TRANSLATION).option("mode", "DROPMALFORMED").json(path)
-    return df.withColumn("line_no", F.monotonically_increasing_id())
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    return df.withColumn("line_no", place)
 
 
 def headword_lines(value: Column) -> tuple[Column, Column]:
@@ -143,6 +145,11 @@ def batch_status(jobs: DataFrame) -> DataFrame:
 
 
 def register(spark: SparkSession, bundle: dict[str, DataFrame], prefix: str = "") -> None:
-    """Indices as cached temporary views."""
+    """Indices as temporary views; written ones are read with their filters pushed down."""
     for name, df in bundle.items():
-        df.cache().createOrReplaceTempView(prefix + name)
+        df.createOrReplaceTempView(prefix + name)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """An index that :func:`lexweave.sources.sinks.write_index` wrote."""
+    return spark.read.parquet(path)

@@ -25,8 +25,7 @@ def append_stream(lines: DataFrame, path: str, checkpoint: str, once: bool = Tru
 
     def batch(df: DataFrame, _: int) -> None:
         rows = df.where("coalesce(entry_id, '') <> ''").withColumn("position", F.monotonically_increasing_id())
-        append_new(df.sparkSession, rows.persist(), path)
-        rows.unpersist()
+        append_new(df.sparkSession, rows, path)
 
     writer = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pytest
@@ -161,3 +162,56 @@ def test_record_filters_and_labels(spark):
 def test_snippets_of_documents(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", snippets.snippets(F.col("text")).alias("s")).collect()
     assert all((r["s"]["short"], r["s"]["medium"]) == snippets.pair(r["text"]) for r in rows)
+
+
+def test_scanned_spellings_and_han_division(spark):
+    assert apply(spark, script.clean_ocr_iast, [" ‘a’  “b” ", None]) == ["'a' \"b\"", None]
+    assert apply(spark, script.clean_iast, [" dharma  kāya,.;", "a."]) == ["dharma kāya", "a"]
+    got = apply(spark, parsers.tib_zh, ["chos 法 dharma", "bod", "法"])
+    assert [(r["tib"], r["zh"]) for r in got] == [("chos", "法 dharma"), ("bod", ""), ("", "法")]
+
+
+def test_representative_synonym(spark):
+    from lexweave.operators import extract
+
+    rows = spark.createDataFrame([(["ab", "amara", "'deva"],), ([],), (["sura", "suru"],)], "k array<string>")
+    assert [r[0] for r in rows.select(extract.representative(rows["k"])).collect()] == ["amara", "", "sura"]
+
+
+def test_standard_senses_match_the_scanner(spark):
+    texts = ["a 1. b 2 c", "1 x 2. y -3 z", "-2 -3a. q", "none", "", "1 only", " 1.  2. \n3. end", "x 12b. y 3\u00a0z"]
+    got = apply(spark, snippets.standard_senses, texts)
+    assert [[(x["num"], x["text"]) for x in r] for r in got] == [snippets.split_senses(t) for t in texts]
+
+
+def test_parsed_and_cut_tables(spark, sf_dir):
+    """Queries without SQL, row by row in Python."""
+    import difflib
+
+    from lexweave.plans import catalog
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    for r in catalog.QUERIES["parsed_markup_pages"](spark, sf_dir).collect():
+        text = re.sub(r"[ \t\u00a0]+", " ", markup.plain_text(pages[r["page_id"]], True))
+        text = re.sub(r"\s+([,;.:])", r"\1", re.sub(r"\n{2,}", "\n", text)).strip()
+        assert r["plain"] == text
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in catalog.QUERIES["snippets_of_documents"](spark, sf_dir).collect():
+        assert (r["short"], r["medium"]) == snippets.pair(docs[r["doc_id"]]["text"] or "")
+    made = catalog.QUERIES["made_entries"](spark, sf_dir).collect()
+    heads = {f"{d['source']}-{d['doc_id']:06d}": (m[0], d["text"]) for d in docs.values() if d["text"] and d["source"] and (m := re.search("[A-Za-zÀ-ÿ]+", d["text"]))}
+    assert {r["id"]: r["headword"] for r in made} == {k: v[0] for k, v in heads.items()}
+    first = {}
+    for d in sorted(docs.values(), key=lambda d: d["doc_id"]):
+        if d["text"] is not None and d["source"] in ("src0", "src1"):
+            m = re.search("[A-Za-zÀ-ÿ]+", d["text"])
+            first.setdefault((d["source"], m[0] if m else ""), d["text"])
+    for r in catalog.QUERIES["body_similarity"](spark, sf_dir).collect():
+        a, b = (next(t for (s, w), t in first.items() if s == src and _plain(w) == r["headword_norm"]) for src in ("src0", "src1"))
+        assert abs(r["similarity"] - difflib.SequenceMatcher(None, a.strip()[:2000], b.strip()[:2000]).ratio()) < 1e-12
+
+
+def _plain(word):
+    import unicodedata
+
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)).lower()

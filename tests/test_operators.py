@@ -16,12 +16,12 @@ from lexweave.streaming import resume
 
 @pytest.fixture(scope="module")
 def bundle(spark):
-    entry = "array<struct<dict: string, id: string>>"
+    entry = "norm string, iast string, place long, dict string, id string"
     rows = [(1, "dharma", "chos", "法", ["mahavyutpatti", "hopkins-tsed"])]
     equiv = spark.createDataFrame(rows, "row_id long, skt_iast string, tib_wylie string, zh string, sources array<string>")
     return {
-        "tier0": spark.createDataFrame([("dharma", "dharma", [("apte", "apte-sanskrit-english-001")])], f"norm string, iast string, entries {entry}"),
-        "tier0_bo": spark.createDataFrame([], f"norm string, iast string, entries {entry}"),
+        "tier0": spark.createDataFrame([("dharma", "dharma", 1, "apte", "apte-sanskrit-english-001")], entry),
+        "tier0_bo": spark.createDataFrame([], entry),
         "equiv_keys": build.equivalent_keys(equiv, normalize(F.col("value"))),
         "equiv_rows": equiv,
         "reverse_en": spark.createDataFrame([("duty", 1, "apte-001"), ("duty", 2, "monier-williams-001")], "token string, rank long, id string"),
@@ -165,6 +165,99 @@ def test_rewrite_in_place(spark, tmp_path):
     assert sorted(r["x"] for r in spark.read.schema("x int").json(path).collect()) == [2, 3]
 
 
+def test_interrupted_rewrite_is_undone(spark, tmp_path):
+    path, x = str(tmp_path / "rows"), "x int"
+    sinks.write_jsonl(spark.createDataFrame([(1,)], x), path)
+    (tmp_path / "rows").rename(tmp_path / "rows.previous")  # stopped between the two moves
+    sinks.recover(spark, path)
+    assert [r["x"] for r in spark.read.schema(x).json(path).collect()] == [1]
+    sinks.write_jsonl(spark.createDataFrame([(2,)], x), path)
+    assert [r["x"] for r in spark.read.schema(x).json(path).collect()] == [2] and not (tmp_path / "rows.previous").exists()
+
+
+def test_search_over_written_indices(spark, bundle, tmp_path):
+    for name, df in bundle.items():
+        sinks.write_index(df, str(tmp_path / name))
+    read = {name: tables.read_index(spark, str(tmp_path / name)) for name in bundle}
+    asked = spark.createDataFrame(list(enumerate(EXPECT)), "qid int, raw string")
+    rows = lambda b: sorted(map(str, search.search(asked, b).collect()))
+    assert rows(read) == rows(bundle) and rows(bundle)
+    tables.register(spark, read, "idx_")
+    assert spark.table("idx_headwords").count() == 3
+
+
+def test_second_tier_counts_on(spark):
+    entry = "norm string, iast string, place long, dict string, id string"
+    skt = spark.createDataFrame([("a", "ā", 1, "x", "x-1"), ("a", "ā", 2, "y", "y-1")], entry)
+    bo = spark.createDataFrame([("a", "A", 1, "z", "z-1"), ("b", "B", 1, "z", "z-2")], entry)
+    got = sorted(tuple(r) for r in search.merge_buckets(skt, bo).select("norm", "place", "iast", "id").collect())
+    assert got == [("a", 1, "ā", "x-1"), ("a", 2, "ā", "y-1"), ("a", 3, "ā", "z-1"), ("b", 1, "B", "z-2")]
+
+
+def test_long_prefixes_and_short_ones(spark):
+    words = spark.createDataFrame([(w, w) for w in ("a", "ab", "abc", "abcd", "abcde", "abcdef", "b")], "norm string, iast string")
+    for key in ("a", "ab", "abcd", "abcde", "zz"):
+        keys = search.keyed(spark.createDataFrame([(1, key)], "qid int, raw string"))
+        want = [w for w in ("a", "ab", "abc", "abcd", "abcde", "abcdef") if w.startswith(key)]
+        for limit in (2, 20):
+            got = sorted((r["rank"], r["norm"]) for r in search.partial(keys, words, limit).collect())
+            assert [w for _, w in got] == want[:limit]
+
+
+def test_numbers_and_records_across_ranges(spark):
+    rows = spark.createDataFrame([("g" if k % 3 else "h", k * 7, k) for k in range(40)] + [(None, 5, 99)], "grp string, at long, k int")
+    for width in (10, 1 << 16):
+        got = {(r["grp"], r["at"]): r["seq"] for r in extract.numbered(rows, "grp", "at", width).collect()}
+        for grp in ("g", "h", None):
+            own = sorted(at for g, at in got if g == grp)
+            assert [got[grp, at] for at in own] == list(range(1, len(own) + 1))
+    lines = spark.createDataFrame([(1, k, "head" if k % 11 == 3 else "stop" if k % 11 == 8 else "line") for k in range(60)], "doc int, at int, kind string")
+    head, stop = F.col("kind") == "head", F.col("kind") == "stop"
+    want = sorted(map(str, extract.islands(lines, "doc", "at", head, resets=stop).collect()))
+    assert sorted(map(str, extract.islands(lines, "doc", "at", head, resets=stop, width=4).collect())) == want
+    record, live, expect = 0, False, []
+    for k in range(60):
+        kind = "head" if k % 11 == 3 else "stop" if k % 11 == 8 else "line"
+        record += kind != "line"
+        live = kind == "head" or (live and kind != "stop")
+        if live:
+            expect.append((k, record))
+    got = extract.islands(lines, "doc", "at", head, resets=stop, width=4).collect()
+    assert sorted((r["at"], r["record"]) for r in got) == expect
+
+
+def test_last_duplicate_line_wins(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    for name, ko in (("a.jsonl", ["1", "2"]), ("b.jsonl", ["3", ""])):
+        (tmp_path / "t" / name).write_text("".join(json.dumps({"entry_id": "x", "ko": v}) + "\n" for v in ko))
+    got = tables.read_translations(tables.translation_lines(spark, str(tmp_path / "t")))
+    assert [r["ko"] for r in got.collect()] == ["3"]
+
+
+def test_page_cache_and_defaults(spark):
+    pages = spark.createDataFrame([(1, "san", 6, 300, 2), (2, "san", 6, 300, 1), (3, "eng", 6, 300, 2)], "page int, langs string, psm int, dpi int, columns int")
+    assert [r["page"] for r in tables.page_cache(pages, "san", 6, 300, 2).collect()] == [1]
+    meta = spark.createDataFrame([(None, None), (["a"], {"e": ("x", 0)})], "dicts array<string>, ids map<string, struct<iast: string, dict: int>>")
+    got = tables.reverse_meta_defaults(meta).collect()
+    assert sorted((len(r["dicts"]), len(r["ids"])) for r in got) == [(0, 0), (1, 1)]
+
+
+def test_format_rank_and_canonical(spark):
+    rows = spark.createDataFrame([("a.dict", "b.apple", 1, 9), ("b", "a", 3, 3), ("a.gretil", "b", 5, 1), ("x.apple", "y.apple", 2, 5)], "a string, b string, n int, m int")
+    pick = quality.canonical(F.col("a"), F.col("b"), F.col("n"), F.col("m"))
+    assert [r[0] for r in rows.select(pick).collect()] == ["a.dict", "a", "b", "y.apple"]
+    rank = quality.format_rank(F.col("a"), ["x.apple", "b"])
+    assert [r[0] for r in rows.select(rank).collect()] == [2, 1, 2, 0]
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("".join(json.dumps({"entry_id": str(k), "ko": "x" * (k % 2)}) + "\n" for k in range(5)))
+    q = resume.progress(resume.arriving(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("progress").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert {r["state"]: r["n"] for r in spark.table("progress").collect()} == {"empty": 3, "translated": 2}
+
+
 def test_written_forms(spark, tmp_path):
     words = spark.createDataFrame([("b", "B"), ("a", "A")], "norm string, iast string")
     sinks.write_headwords(words, str(tmp_path / "w"))
