@@ -34,7 +34,7 @@ _SENSES = "array<struct<num: string, text: string>>"
 #: one that follows it on a new line.
 _GUARD = "".join(rf"(?<!\b(?i:{re.escape(a)}){end})" for a in ABBREVIATIONS for end in ("", r"\n"))
 #: (pattern, whether a cut stands at its end or after its first character)
-_CUTS = [(re.compile(SEMICOLON), True), (re.compile(NUMBERED), False), (re.compile(_GUARD + FULL_STOP), True)]
+_CUTS = [(re.compile(SEMICOLON), True), (re.compile(NUMBERED), False), (re.compile(r"(?=\.)" + _GUARD + FULL_STOP), True)]
 
 
 @lru_cache(maxsize=256)
