@@ -411,10 +411,12 @@ def _block_links(member: DataFrame, full: DataFrame, stars: DataFrame, s: Settin
     right = touched.select("bucket", F.col("block").alias("right"), F.col("large").alias("right_large"))
     pair = spread_join(touched, right, "bucket").where("block <= right and coalesce(large <> right_large, true)").select(F.col("block").alias("left"), "right")
     sides = stage(pair.distinct().select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block")), "sides")
-    own = stage(block.select("block", "class", "root").join(full, "class"), "block_sets")
-    work = spread_join(sides, own, "block").withColumn("side", (F.col("block") == F.col("right")).cast("int")).drop("block")
+    # names meet first, so that sets are shuffled once to their names and once to the tasks
+    wanted = spread_join(sides, block.select("block", "class", "root"), "block").withColumn("side", (F.col("block") == F.col("right")).cast("int"))
+    wanted = stage(wanted.select("left", "right", "side", "class", "root"), "block_rows")
+    work = spread_join(wanted, full, "class")
     found = stage(work.groupBy("left", "right").applyInPandas(lambda part: _links(part, s), "a binary, b binary"), "block_links")
-    forget(ends, left, label, lower, wide, label2, grouped, block, touched, sides, own)
+    forget(ends, left, label, lower, wide, label2, grouped, block, touched, sides, wanted)
     return found
 
 
