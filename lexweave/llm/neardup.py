@@ -70,7 +70,7 @@ class Settings:
     miss: float = 1e-4  # most probability that pruning loses a pair at the threshold; 0 prunes nothing
     block: int = 384  # classes in a block
     block_shingles: int = 1 << 20  # shingles in a block, 8 bytes each
-    broadcast_ids: int = 262_144  # rows of one or two keys, about 40 bytes each in a broadcast
+    broadcast_ids: int = 262_144  # rows of one to four keys, 40 to 100 bytes each in a broadcast
 
     @property
     def positions(self) -> int:
@@ -362,6 +362,15 @@ def _dealt(rows: DataFrame, key: str, s: Settings) -> DataFrame:
     return joined.withColumn("salt", F.pmod(F.xxhash64("class"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
 
 
+def _with_sets(wanted: DataFrame, full: DataFrame, s: Settings) -> DataFrame:
+    """``wanted``, a written table of names that may repeat a class, with its sets.
+    Few names are broadcast, so that sets stay where they are until the tasks
+    that compare them; else both sides are shuffled, hot classes over salts."""
+    if wanted.count() <= s.broadcast_ids:
+        return full.join(F.broadcast(wanted), "class")
+    return spread_join(wanted, full, "class")
+
+
 def _star_links(member: DataFrame, full: DataFrame, s: Settings) -> DataFrame:
     """Verified links (a, b) of classes with the least class of their buckets, b < a."""
     one = F.struct("class", "n_shingles")
@@ -373,7 +382,7 @@ def _star_links(member: DataFrame, full: DataFrame, s: Settings) -> DataFrame:
     pairs = stage(_dealt(stage(pairs, "stars"), "rep", s).select("class", "rep", "salt"), "dealt_stars")
     wanted = pairs.withColumn("side", F.lit(0)).union(pairs.select("rep", "rep", "salt").distinct().withColumn("side", F.lit(1)))
     wanted = stage(wanted, "star_rows")
-    work = spread_join(wanted, full.drop("n_shingles"), "class")
+    work = _with_sets(wanted, full.drop("n_shingles"), s)
     found = stage(work.groupBy("rep", "salt").applyInPandas(lambda part: _star(part, s), "a binary, b binary"), "star_links")
     forget(ends, pairs, wanted)
     return found
@@ -411,10 +420,10 @@ def _block_links(member: DataFrame, full: DataFrame, stars: DataFrame, s: Settin
     right = touched.select("bucket", F.col("block").alias("right"), F.col("large").alias("right_large"))
     pair = spread_join(touched, right, "bucket").where("block <= right and coalesce(large <> right_large, true)").select(F.col("block").alias("left"), "right")
     sides = stage(pair.distinct().select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block")), "sides")
-    # names meet first, so that sets are shuffled once to their names and once to the tasks
+    # names meet first, so that sets go to their names once and to the tasks once
     wanted = spread_join(sides, block.select("block", "class", "root"), "block").withColumn("side", (F.col("block") == F.col("right")).cast("int"))
     wanted = stage(wanted.select("left", "right", "side", "class", "root"), "block_rows")
-    work = spread_join(wanted, full, "class")
+    work = _with_sets(wanted, full, s)
     found = stage(work.groupBy("left", "right").applyInPandas(lambda part: _links(part, s), "a binary, b binary"), "block_links")
     forget(ends, left, label, lower, wide, label2, grouped, block, touched, sides, wanted)
     return found
