@@ -21,7 +21,9 @@ over a sentence, or in a whole text of that size, that matches the same licence
 by itself.
 
 Everything is DataFrame functions; templates are counted and broadcast only
-within ``broadcast_rows`` rows of that listing.
+within ``broadcast_rows`` rows of that listing.  A text meets the templates of
+which it holds enough bigrams by looking these up, or beyond that bound by a
+join on bigrams; texts and templates are never crossed.
 
 Defined cases: null, empty and one-word texts match nothing; of several
 templates that match one passage the largest coefficient wins, then the least
@@ -105,13 +107,45 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPL
     return spark.createDataFrame(templates, "license string, body string")
 
 
-def runs(rows: DataFrame, known: DataFrame, least: float, shared: Column | None) -> DataFrame:
-    """(doc_id, start, passage, license, dice) of runs of pieces.  ``known``
-    has license, of, n_of, low and high; ``shared`` all bigrams of its rows."""
-    # few texts hold enough of a template's bigrams; only these are cut in pieces
+def near_few(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows with every template of which they hold at least ``low`` bigrams, for
+    a bounded number of templates: their bigrams are looked up within the row."""
+    of: dict[int, list[int]] = {}
+    lows = []
+    ranked = known.orderBy("license", "of").select("license", "of", "n_of", "low", "high").collect()  # within most_listed bigrams
+    for t, r in enumerate(ranked):
+        lows.append(r["low"])
+        for h in r["of"]:
+            of.setdefault(h, []).append(t)
+    listed = F.array(*map(F.lit, sorted(of))).cast("array<bigint>")
+    where = F.map_from_arrays(listed, F.array(*[F.array(*map(F.lit, of[h])) for h in sorted(of)]))
     own = bigrams(F.split(normalised(F.col("text")), " "))
-    held = rows.select("doc_id", "text", F.explode(F.array(own if shared is None else F.array_intersect(own, shared))).alias("own"))
-    near = held.where("size(own) > 0").crossJoin(known).where(F.size(F.array_intersect("own", "of")) >= F.col("low")).drop("own")
+    held = rows.select("doc_id", "text", F.explode(F.array(F.array_intersect(own, listed))).alias("own")).where("size(own) > 0")
+    held = held.select("doc_id", "text", F.explode(F.array(F.flatten(F.transform("own", lambda h: F.element_at(where, h))))).alias("at"))
+    enough = F.filter(F.array_distinct("at"), lambda t: F.size(F.filter("at", lambda u: u == t)) >= F.element_at(F.array(*map(F.lit, lows)), t + 1))
+    numbered = rows.sparkSession.createDataFrame([(t, *r) for t, r in enumerate(ranked)], "t int, license string, of array<bigint>, n_of int, low int, high int")
+    return held.select("doc_id", "text", F.explode(enough).alias("t")).join(F.broadcast(numbered), "t").drop("t")
+
+
+def near_many(rows: DataFrame, known: DataFrame, few: bool) -> DataFrame:
+    """The same for any number of templates: a join on bigrams without texts.
+    ``few`` templates are broadcast."""
+    keyed = rows.withColumn("key", F.struct("doc_id", F.sha2("text", 256)))
+    own = bigrams(F.split(normalised(F.col("text")), " "))
+    thin = keyed.select("key", F.explode(own).alias("pair"))
+    listed = known.select("license", "of", "low", F.explode("of").alias("pair")).distinct()
+    met = thin.join(F.broadcast(listed) if few else listed, "pair")
+    # rows may repeat
+    met = met.groupBy("key", "license", "of", "low").agg(F.count_distinct("pair").alias("n")).where("n >= low").drop("low", "n")
+    texts = keyed.distinct()
+    near = texts.join(met, texts["key"].eqNullSafe(met["key"])).select("doc_id", "text", "license", "of")
+    return near.join(F.broadcast(known) if few else known, ["license", "of"])
+
+
+def runs(near: DataFrame, least: float) -> DataFrame:
+    """(doc_id, start, passage, license, dice) of runs of pieces.  ``near`` has
+    texts with templates of which they hold enough bigrams (license, of, n_of,
+    low, high); only these are cut in pieces."""
     pieces = F.transform(F.split("text", SENTENCE_END), lambda p: F.filter(F.split(normalised(p), " "), lambda w: w != ""))
     near = near.select("*", F.explode(F.array(pieces)).alias("pieces"))
     numbers = F.flatten(F.transform("pieces", lambda p, i: F.transform(p, lambda _: i)))
@@ -156,6 +190,7 @@ def scan(
     text_col: str = "text",
     broadcast_rows: int = 200_000,
     most_tests: int = 60,
+    most_listed: int = 4096,
 ) -> DataFrame:
     """(doc_id, unit, start, passage, license, dice) of every passage that
     matches; ``start`` numbers the sentences of a text from 0, and is -1 for
@@ -204,11 +239,7 @@ def scan(
         (-F.col("best.less")).alias("dice"),
     )
     ranged = known.select("license", "of", "n_of", low.cast("int").alias("low"), high.cast("int").alias("high"))
-    shared = sorted({h for r in known.select("of").toLocalIterator() for h in r["of"]}) if few else None
-    wrapped = runs(
-        rows.where(may_match(F.lower("text"))),
-        F.broadcast(ranged) if few else ranged,
-        least,
-        None if shared is None else F.array(*map(F.lit, shared)).cast("array<bigint>"),
-    )
+    candidates = rows.where(may_match(F.lower("text")))
+    listed = known.agg(F.sum("n_of")).first()[0] <= most_listed
+    wrapped = runs(near_few(candidates, ranged) if few and listed else near_many(candidates, ranged, few), least)
     return single.union(wrapped.select("doc_id", F.lit("run").alias("unit"), "start", "passage", "license", "dice"))

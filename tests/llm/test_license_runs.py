@@ -83,7 +83,8 @@ def test_wrapped_notices_in_longer_texts(spark):
 
 def test_without_broadcast_and_with_other_thresholds(spark):
     for least in (0.8, 0.6):
-        assert run(spark, LONG, least=least, broadcast_rows=0) == expect(LONG, least=least) | runs(LONG, least=least)
+        for more in ({"broadcast_rows": 0}, {"most_listed": 0}):
+            assert run(spark, LONG, least=least, **more) == expect(LONG, least=least) | runs(LONG, least=least)
 
 
 def test_cases_of_single_units(spark):
