@@ -128,10 +128,10 @@ def excluded_leaks(index: DataFrame, dicts: DataFrame) -> DataFrame:
     return index.join(hidden, "dict", "left_semi").groupBy("dict").agg(F.count(F.lit(1)).alias("leaks"))
 
 
-def content_class(text: Column) -> Column:
-    """cjk, mixed, latin or other."""
-    han, latin = text.rlike("[一-鿿豈-﫿]"), text.rlike("[A-Za-z]")
-    return F.when(han & latin, "mixed").when(han, "cjk").when(latin, "latin").otherwise("other")
+def content_class(text: Column, cjk: str = "[一-鿿豈-﫿]") -> Column:
+    """cjk, mixed, latin or other; ``cjk`` says which characters make the first two."""
+    han, latin = text.rlike(cjk), text.rlike("[A-Za-z]")
+    return F.when(latin, F.when(han, "mixed").otherwise("latin")).when(han, "cjk").otherwise("other")
 
 
 def graded(rows: DataFrame, source: Column, target: Column, leaks: Column) -> DataFrame:

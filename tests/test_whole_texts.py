@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from lexweave.operators import quality
 from lexweave.plans import catalog
 
 TEXTS = {
@@ -67,3 +70,27 @@ def test_delimiters_and_signs_far_into_a_text(rows):
     got = {r[0]: r[1:] for r in rows("valid_forms", texts)}
     assert got[7] == (True, True, False) and got[6][:2] == (False, False) and got[6][2]
     assert got[1][:2] == (False, False) and got[5][:2] == (False, False)
+
+
+CLASSES = {
+    None: "other", "": "other", "12 !\n": "other", "éè, à": "other", "ß😀": "other", "É ê": "other", "法": "other", "法豈 é": "other", "Ａ": "other",
+    "abc": "latin", "法 abc": "latin", "x豈": "latin", "É ê x": "latin", "e\u0301": "latin", "à la": "mixed", "ab\n\0ñ": "mixed", "法 é x": "mixed",
+}
+
+
+def test_content_classes_of_odd_texts(rows):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(CLASSES)))
+    got = sorted(rows("content_classes", dict(enumerate(CLASSES))))
+    assert got == sorted(Counter(CLASSES.values()).items()) == sorted(con.sql(catalog.ORACLE["content_classes"]).fetchall())
+    for name in set(CLASSES.values()):
+        texts = {doc: text for doc, text in enumerate(CLASSES) if CLASSES[text] == name}
+        assert rows("content_classes", texts) == [(name, len(texts))]
+
+
+def test_content_class_of_han(spark):
+    texts = {"法": "cjk", "豈 1": "cjk", "法 abc": "mixed", "abc": "latin", "é": "other", "": "other", None: "other"}
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", quality.content_class(F.col("text"))).collect()
+    assert {r[0]: r[1] for r in got} == texts
